@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, mixing, neardup, overlap, unify
+from . import bpe, langid, mixing, neardup, overlap, unify
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,28 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.same_groups(table(spark, sf_dir, "combined_jokes_full"), "joke_id", "joke")
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.gather(
+        [
+            ("combined_jokes_full", table(spark, sf_dir, "combined_jokes_full"), "joke_id", "joke"),
+            ("submissions", table(spark, sf_dir, "submissions"), "submission_id", "text"),
+            ("documents", table(spark, sf_dir, "documents"), "doc_id", "text"),
+        ]
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.found(_labelled(spark, sf_dir))
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_labelled(spark, sf_dir))
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.segments(_labelled(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.found(table(spark, sf_dir, "combined_jokes_full"))
 
