@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, langid, mixing, neardup, overlap, unify
+from . import bpe, langid, mixing, neardup, overlap, sentences, unify
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,10 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
