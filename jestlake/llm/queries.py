@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, langid, mixing, neardup, overlap, sentences, unify
+from . import bpe, langid, mixing, neardup, overlap, pairs, sentences, truncation, unify
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective(table(spark, sf_dir, "submissions"), table(spark, sf_dir, "rl_df_test"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +45,14 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.segments(_labelled(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.found(table(spark, sf_dir, "submissions"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.report(table(spark, sf_dir, "submissions"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.found(table(spark, sf_dir, "combined_jokes_full"))
 
