@@ -37,7 +37,7 @@ REFUSALS = re.compile(
     \b(?:i|we)(?:['’]m|\ am|['’]d|['’]ll|\ would)?\ (?:\w+\ ){0,2}?(?:can['’]t|cannot|can\ not|won['’]t|will\ not|not\ able|unable|must\ (?:pass|decline|refuse)|have\ to\ (?:pass|decline|refuse)|rather\ not|prefer\ not|not\ comfortable|do\ not\ want|don['’]t\ (?:want|think\ i\ should))\b
     | \bno\ jokes?\ can\ be\b | \b(?:not|n['’]t)\ be\ appropriate\ for\ (?:me|us)\b | \binappropriate\ for\ (?:me|us)\b | \bagainst\ my\ (?:guidelines|rules|policy|policies|principles)\b
     | \bno\ (?:puedo|podemos|podré|quiero|voy\ a|debo)\b | \bno\ (?:me\ )?es\ posible\b | \bprefiero\ no\b | \bno\ sería\ (?:apropiado|adecuado|correcto)\b | \bcontra\ mis\ (?:normas|reglas|principios|directrices)\b | \b(?:tengo\ que|debo)\ (?:rechazar|declinar|negarme)\b | \bno\ se\ puede\ (?:ofrecer|dar|hacer|proporcionar)\b
-    | (?:我|本人)[^，。！？]{0,6}(?:不能|无法|不会|不想|不便|没法|拒绝|不(?:调侃|开玩笑|写|讲|拿)) | 由我来[^，。！？]{0,12}不合适 | 违反我的 | 只能(?:拒绝|婉拒) | 恕难 | (?:无法|不能)(?:提供|满足|完成)
+    | (?:^|[，。！？,!?:：]\s*)(?:但是|但|所以|因此|可是)?(?:我|本人)(?:还是|真的|可能|恐怕|也|现在|暂时|必须|只能)?(?:不能|无法|不会|不想|不便|没法|拒绝|不(?:调侃|开玩笑|写|讲|拿)) | 由我来[^，。！？]{0,12}不合适 | 违反我的 | 只能(?:拒绝|婉拒) | 恕难 | (?:无法|不能)(?:提供|满足|完成)
     | \bje\ (?:ne\ (?:peux|veux|vais|souhaite)|préfère\ ne|dois\ (?:refuser|décliner))\b | \bich\ (?:kann|möchte|darf|will|werde)\b[^.!?]{0,60}\b(?:nicht|kein\w*)\b | \bich\ muss\b[^.!?]{0,40}\bablehnen\b
     | \b(?:não\ (?:posso|vou|quero|consigo)|prefiro\ não|tenho\ (?:de|que)\ recusar)\b | できません | お断り | 控えさせて
     """,
@@ -64,16 +64,18 @@ def copies(answer: str, prompt: str | None) -> bool:
     match = _SUBJECT.search(prompt)
     subject = tokens(fold_text(match[1])) if match else []
     about = sum((Counter(said) & Counter(subject)).values())
-    return bool(subject) and about >= 0.93 * len(subject) and len(said) <= 1.15 * len(subject) + 1
+    # the subject is there to its end: an answer that breaks off inside it is truncated instead
+    return bool(subject) and (about == len(subject) or (about >= 0.93 * len(subject) and said[-1] == asked[-1]))
 
 
 def refuses(answer: str) -> bool:
     """Whether the writer, not somebody in a joke, declines."""
     if len(answer) > REFUSAL_CHARS:
         return False
-    outside = _QUOTED.sub(" ", fold_text(answer).strip(" \"“”«»")) if answer.strip()[:1] in "\"“«" and len(_QUOTED.findall(answer)) == 1 and _QUOTED.sub("", answer).strip() == "" else _QUOTED.sub(" ", fold_text(answer))
-    if not outside.strip():
-        outside = fold_text(answer).strip(" \"“”«»")
+    plain = fold_text(answer)
+    if len(plain) > 1 and plain[0] in "\"“«‘'" and plain[-1] in "\"”»’'":
+        plain = plain[1:-1]  # the whole answer stands in quotes
+    outside = _QUOTED.sub(" ", plain)
     parts = truncation.units(outside)
     # the refusal stands at the start, perhaps after a word of regret, and nothing told follows it
     return len(parts) <= 4 and any(REFUSALS.search(p) for p in parts[:2])

@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, langid, mixing, neardup, overlap, pairs, sentences, truncation, unify
+from . import bpe, consensus, langid, mixing, neardup, overlap, pairs, sentences, truncation, unify
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.label_items(table(spark, sf_dir, "data_llm_eval")).select("item_id", "label")
+
+
+def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.label_items(table(spark, sf_dir, "data_llm_eval"))
+
+
+def p1_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.reliability(table(spark, sf_dir, "data_llm_eval"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
