@@ -80,7 +80,7 @@ def coherence(code: str) -> str:
 def half_even(x: str) -> str:
     """x rounded to 3 places, halves to the even neighbour, exactly on decimals."""
     y = f"(({x})::decimal(18, 9) * 1000)"
-    return f"((floor({y}) + case when {y} - floor({y}) > 0.5 then 1 when {y} - floor({y}) < 0.5 then 0 else floor({y})::bigint % 2 end) / 1000.0)::double"
+    return f"((floor({y}) + case when {y} - floor({y}) > 0.5 then 1 when {y} - floor({y}) < 0.5 then 0 else abs(floor({y})::bigint) % 2 end) / 1000.0)::double"
 
 
 def _pair(g: int) -> str:
