@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .unify import LOOKALIKES, _fold_table
 
 LANGS = ("de", "en", "es", "fr", "ja", "pt", "zh")
-SAMPLE = 1500  # records per declared language
+SAMPLE = 1000  # records per declared language; up to 1000 Spark limits each group before the shuffle
 ORDER = 5
 DISCOUNT = 0.75
 MIN_COUNT = {5: 2, 4: 1, 3: 1, 2: 1, 1: 1}  # rarer n-grams of the highest order go by their suffix
