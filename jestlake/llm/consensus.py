@@ -5,8 +5,8 @@ fitted jointly by expectation-maximisation; the classifier's output is the prior
 are annotators like the labelers. Rows of a confusion matrix are smoothed towards the annotator's own ordinal profile (a
 discretised bell around a bias that may depend on the label), so that annotators with few labels stay usable.
 
-Every iteration is one pass over the items that returns, per partition, sums whose size depends only on the numbers of
-annotators, classes and features; they are added up by Spark before the driver sees one row.
+Every iteration is one pass over the items that returns, per partition, sums whose number depends only on the numbers of
+annotators, classes and features; Spark adds them up, and the driver sees one row per parameter.
 
 Defined results: a row delivered twice counts once (the latest loaded_at, ties by the larger label); labels and scores
 outside the scale and nulls are no votes; null annotators are no annotators; items without any vote get their label from
@@ -179,20 +179,11 @@ def fit(items: DataFrame, iterations: int = ITERATIONS) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             flat = model.sums(_blocks(b, model.at) for b in batches if b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "v"])
 
-        def add(batches: Iterator[pa.RecordBatch], size=size) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
-            for b in batches:
-                for s in b.column(0).to_pylist():
-                    total += np.frombuffer(s)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
-
-        parts = items.mapInArrow(run, "s binary")
-        width = max(1, int(np.sqrt(items.rdd.getNumPartitions())))
         flat = np.zeros(size)
-        for row in parts.coalesce(width).mapInArrow(add, "s binary").collect():  # a few vectors of fixed size
-            flat += np.frombuffer(row["s"])
+        for row in items.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # as many rows as parameters
+            flat[row["i"]] = row["v"]
         now = model.update(flat)
         if abs(now - before) < TOLERANCE:
             break

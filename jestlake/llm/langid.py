@@ -8,7 +8,7 @@ The models are fitted on a bounded sample: SAMPLE records per declared language,
 tables together. Declared labels are partly wrong and some texts are mixed,
 so a sentence takes part in the last fit only if models of the other half of the sample agree with its label. Everything else covers every record and whole texts.
 
-Defined results: null, blank and mark-only texts have no parts; parts below MIN_LETTERS letters follow their neighbours;
+Defined results: null, blank and mark-only texts have no parts; parts below MIN_VOTE weighted letters follow their text;
 ties go to the language code that sorts first; an empty table gives no rows; with no labelled sample at all every text is
 undetermined and gives no row.
 """
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from .unify import LOOKALIKES, _fold_table
 
 LANGS = ("de", "en", "es", "fr", "ja", "pt", "zh")
-SAMPLE = 1000  # records per declared language; up to 1000 Spark limits each group before the shuffle
+SAMPLE = 2500  # records per declared language
 ORDER = 5
 DISCOUNT = 0.75
 MIN_COUNT = {5: 2, 4: 1, 3: 1, 2: 1, 1: 1}  # rarer n-grams of the highest order go by their suffix
 MIN_LETTERS = 8  # a shorter part has no vote of its own
+MIN_VOTE = 30  # letters a part needs for a vote of its own, an ideograph or kana counting as WIDE letters
+WIDE = 4
 MIN_GAIN = 24.0  # nats by which a part must prefer another language than its text's
 MIN_GAIN_LETTER = 0.7  # and nats a letter
 CHUNK = 300_000  # code points scored at once
@@ -234,14 +236,16 @@ class Models:
             left = miss
         return out
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(sums, letters, owner, at): per part the log likelihood by language, its letters, its text and offset."""
+    def score(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(sums, letters, sizes, owner, at): per part the log likelihood by language, its letters plain and weighted, its text and offset."""
         codes, part, owner, at = prepare(texts)
         logs = self.log_probs(codes, part)
         counted = codes != _SPACE
         logs[~counted] = 0  # spaces say little and long runs of marks nothing
         begin = np.flatnonzero(np.diff(part, prepend=-1))
-        return np.add.reduceat(logs, begin, axis=0), np.add.reduceat(counted, begin, dtype=np.int64), owner, at
+        letters = np.add.reduceat(counted, begin, dtype=np.int64)
+        sizes = letters + (WIDE - 1) * np.add.reduceat(codes >= 0x3000, begin, dtype=np.int64)
+        return np.add.reduceat(logs, begin, axis=0), letters, sizes, owner, at
 
 
 def _depth(part: np.ndarray) -> np.ndarray:
@@ -285,14 +289,14 @@ class Identifier:
 
     def parts(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(owner, at, lang, confidence, letters) of the parts of a batch of texts; lang -1: undetermined."""
-        owner, at, sums, letters = self._scored(texts)
+        owner, at, sums, letters, sizes = self._scored(texts)
         total = np.zeros((len(texts), len(LANGS)))
         np.add.at(total, owner, sums)
         main = total.argmax(axis=1)[owner]
         row = np.arange(len(owner))
         best = sums.argmax(axis=1)
         gain = sums[row, best] - sums[row, main]
-        own = (letters >= MIN_LETTERS) & (gain > MIN_GAIN) & (gain > MIN_GAIN_LETTER * letters)
+        own = (sizes >= MIN_VOTE) & (gain > MIN_GAIN) & (gain > MIN_GAIN_LETTER * letters)
         lang = np.where(own, best, main)
         safe = np.maximum(letters, 1)
         # cross-entropy of the main language over all its parts of the text, of another language over its own part
@@ -307,17 +311,17 @@ class Identifier:
         return owner, at, lang, confidence, letters
 
     def _scored(self, texts: list[str]):
-        sums, letters, owners, ats = [], [], [], []
+        sums, letters, sizes, owners, ats = [], [], [], [], []
         start = 0
         while start < len(texts):
             stop, size = start, 0
             while stop < len(texts) and (size == 0 or size + len(texts[stop]) < CHUNK):
                 size += len(texts[stop]) + 1
                 stop += 1
-            s, n, owner, at = self.models.score(texts[start:stop])
-            sums.append(s), letters.append(n), owners.append(owner + start), ats.append(at)
+            s, n, m, owner, at = self.models.score(texts[start:stop])
+            sums.append(s), letters.append(n), sizes.append(m), owners.append(owner + start), ats.append(at)
             start = stop
-        return np.concatenate(owners), np.concatenate(ats), np.concatenate(sums), np.concatenate(letters)
+        return np.concatenate(owners), np.concatenate(ats), np.concatenate(sums), np.concatenate(letters), np.concatenate(sizes)
 
 
 def _of(codes: np.ndarray, part: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,10 +329,23 @@ def _of(codes: np.ndarray, part: np.ndarray, chosen: np.ndarray) -> tuple[np.nda
     return codes[keep], part[keep]
 
 
+def least_hashes(rows: DataFrame, group: str, per_group: int) -> DataFrame:
+    """Rows that may be among the per_group least hashes (_h) of their group: about twice as many pass, whatever the group's size.
+
+    Group sizes are counted first; the share of the hash range let through follows from them, so that only a bounded
+    number of texts is shuffled. (The chance that fewer than per_group pass is nil for the sizes in use.)
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_group + 200) / F.col("_size"))
+    limits = sizes.select(group, (share * 2.0**64 - 2.0**63).alias("_limit"))  # one row per group
+    return rows.join(F.broadcast(limits), group).where(F.col("_h") <= F.col("_limit")).drop("_limit")
+
+
 def sample_labelled(tables: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """The bounded sample the models are fitted on: (lang, text)."""
-    good = tables.where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull())
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("src_table", "rec_id"), "rec_id"))
+    good = tables.where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("src_table", "rec_id"))
+    good = least_hashes(good, "lang", per_language)
+    first = F.row_number().over(W.partitionBy("lang").orderBy("_h", "rec_id"))
     rows = good.withColumn("_n", first).where(F.col("_n") <= per_language).select("lang", "text").collect()
     return sorted((r["lang"], r["text"]) for r in rows if re.search(r"\w", r["text"]))
 
