@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .unify import LOOKALIKES, _fold_table
 
 LANGS = ("de", "en", "es", "fr", "ja", "pt", "zh")
-SAMPLE = 2500  # records per declared language
+SAMPLE = 2000  # records per declared language
 ORDER = 5
 DISCOUNT = 0.75
 MIN_COUNT = {5: 2, 4: 1, 3: 1, 2: 1, 1: 1}  # rarer n-grams of the highest order go by their suffix
@@ -102,17 +102,27 @@ def prepare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return codes[~again], part[~again], owner, at
 
 
-def _grams(codes: np.ndarray, part: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hash of the n-gram that ends at each place, for n = 1..order; grams do not reach over parts (they shorten)."""
+def _single(codes: np.ndarray) -> np.ndarray:
+    """Hash of each code by itself."""
     value = codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     value ^= value >> np.uint64(32)
     value *= np.uint64(0xD6E8FEB86659FD93)
+    return value
+
+
+def _longer(gram: np.ndarray, value: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams that end at each place, from those of the (n - 1)-grams; none reaches over its part."""
+    out = value.copy()
+    out[1:] += np.where(part[1:] == part[:-1], gram[:-1] * _STEP, np.uint64(0))
+    return out
+
+
+def _grams(codes: np.ndarray, part: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hash of the n-gram that ends at each place, for n = 1..order; grams do not reach over parts (they shorten)."""
+    value = _single(codes)
     out = [value]
-    for n in range(2, order + 1):
-        gram = value.copy()
-        gram[1:] += out[-1][:-1] * _STEP
-        gram[1:][part[1:] != part[:-1]] = value[1:][part[1:] != part[:-1]]
-        out.append(gram)
+    for _ in range(2, order + 1):
+        out.append(_longer(out[-1], value, part))
     return out
 
 
@@ -145,45 +155,42 @@ class Models:
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER):
         """parts: per language the codes and part numbers of its training text."""
         self.order, count = order, len(parts)
-        grams = [_grams(codes, part, order) for codes, part in parts]
+        singles = [_single(codes) for codes, _ in parts]
+        grams, shorter_grams = singles, singles
         self.index: list[SortedHash] = []
         self.logp: list[np.ndarray] = []
         self.loglam: list[np.ndarray] = []
-        # context hash of each gram: the gram that ends one place earlier, cut to n - 1
-        lower: np.ndarray | None = None
-        for n in range(1, order + 1):
-            seen = []
-            for (codes, part), g in zip(parts, grams):
-                depth = _depth(part)
-                ok = depth >= n - 1
-                keys = g[n - 1][ok]
-                at = np.flatnonzero(ok)
-                context = g[n - 2][at - 1] if n > 1 else np.zeros(len(at), np.uint64)
-                suffix = g[n - 2][at] if n > 1 else np.zeros(len(at), np.uint64)
-                extended = g[n][ok] if n < order else keys  # gram with the letter before it: continuation counts
-                has_before = depth[ok] >= n
-                seen.append((keys, context, suffix, extended, has_before))
-            every = [np.unique(s[0], return_counts=True) for s in seen]
+        for n in range(1, order + 1):  # only two orders' hashes are held at a time
+            if n > 1:
+                shorter_grams = grams
+                grams = [_longer(g, v, part) for g, v, (_, part) in zip(grams, singles, parts)]
             low_count = MIN_COUNT.get(n, 1)
-            kept = np.unique(np.concatenate([k[c >= low_count] for k, c in every]))
+            kinds_of = []
+            for g, (_, part) in zip(grams, parts):
+                keys, c = np.unique(g[_depth(part) >= n - 1], return_counts=True)
+                kinds_of.append(keys[c >= low_count])
+            kept = np.unique(np.concatenate(kinds_of))
             index = SortedHash(kept)
             logp = np.zeros((len(kept), count), np.float32)
             context_of = np.zeros(len(kept), np.uint64)
             suffix_of = np.zeros(len(kept), np.uint64)
             counts = np.zeros((len(kept), count))
-            for lang, (keys, context, suffix, extended, has_before) in enumerate(seen):
-                place = index.find(keys)
-                ok = place >= 0
-                context_of[place[ok]] = context[ok]
-                suffix_of[place[ok]] = suffix[ok]
+            for lang, (g, short, single, (_, part)) in enumerate(zip(grams, shorter_grams, singles, parts)):
+                depth = _depth(part)
+                at = np.flatnonzero(depth >= n - 1)
+                place = index.find(g[at])
+                at, place = at[place >= 0], place[place >= 0]
+                if n > 1:  # the gram without its last code, and without its first
+                    context_of[place] = short[at - 1]
+                    suffix_of[place] = short[at]
                 if n == order:
-                    counts[:, lang] = np.bincount(place[ok], minlength=len(kept))
-                else:  # distinct letters before the gram; one more for a gram at the start of a part
-                    own = ok & has_before
-                    _, one = np.unique(extended[own], return_index=True)  # the longer gram determines the shorter
-                    counts[:, lang] = np.bincount(place[own][one], minlength=len(kept))
+                    counts[:, lang] = np.bincount(place, minlength=len(kept))
+                else:  # distinct codes before the gram; one more for a gram at the start of a part
+                    before = depth[at] >= n
+                    _, one = np.unique(_longer(g, single, part)[at[before]], return_index=True)  # the longer gram determines the shorter
+                    counts[:, lang] = np.bincount(place[before][one], minlength=len(kept))
                     begun = np.zeros(len(kept), bool)
-                    begun[place[ok & ~has_before]] = True
+                    begun[place[~before]] = True
                     counts[:, lang] += begun
             if n == 1:
                 total = counts.sum(axis=0)
@@ -262,7 +269,7 @@ class Identifier:
         """labelled: (declared language, text); declared languages may be wrong for a minority."""
         texts = [t for _, t in labelled]
         declared = np.array([LANGS.index(lang) for lang, _ in labelled])
-        codes, part, owner, _ = prepare(texts)
+        codes, part, owner = _prepared(texts)
         wanted = declared[owner]
         letters = np.bincount(part, weights=codes != _SPACE, minlength=len(owner))
         fold = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1 for t in texts), np.int64, len(texts))[owner]
@@ -272,10 +279,8 @@ class Identifier:
             for half in (0, 1):
                 models = Models([_of(codes, part, (wanted == k) & (fold != half)) for k in range(len(LANGS))])
                 own_codes, own_part = _of(codes, part, fold == half)
-                logs = models.log_probs(own_codes, own_part)
-                logs[own_codes == _SPACE] = 0
-                starts = np.flatnonzero(np.diff(own_part, prepend=-1))
-                sums[own_part[starts]] = np.add.reduceat(logs, starts, axis=0)
+                at, own = _part_sums(models, own_codes, own_part)
+                sums[at] = own
             wanted = np.where(sums.argmax(axis=1) == declared[owner], declared[owner], -1)
         self.models = Models([_of(codes, part, wanted == k) for k in range(len(LANGS))])
         # a part is rejected when its cross-entropy is nearer to what other languages' parts have under the model
@@ -313,17 +318,50 @@ class Identifier:
     def _scored(self, texts: list[str]):
         sums, letters, sizes, owners, ats = [], [], [], [], []
         start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (size == 0 or size + len(texts[stop]) < CHUNK):
-                size += len(texts[stop]) + 1
-                stop += 1
-            s, n, m, owner, at = self.models.score(texts[start:stop])
+        for block in _text_blocks(texts):
+            s, n, m, owner, at = self.models.score(block)
             sums.append(s), letters.append(n), sizes.append(m), owners.append(owner + start), ats.append(at)
-            start = stop
+            start += len(block)
         return np.concatenate(owners), np.concatenate(ats), np.concatenate(sums), np.concatenate(letters), np.concatenate(sizes)
 
 
+def _prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, part, owner) of many texts, prepared in blocks so that little more than the result is held."""
+    codes, parts, owners, start, count = [], [], [], 0, 0
+    for block in _text_blocks(texts):
+        c, p, o, _ = prepare(block)
+        codes.append(c), parts.append((p + count).astype(np.int32)), owners.append(o + start)
+        start += len(block)
+        count += len(o)
+    return np.concatenate(codes), np.concatenate(parts), np.concatenate(owners)
+
+
+def _text_blocks(texts: list[str]) -> Iterator[list[str]]:
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and (size == 0 or size + len(texts[stop]) < CHUNK):
+            size += len(texts[stop]) + 1
+            stop += 1
+        yield texts[start:stop]
+        start = stop
+
+
+def _part_sums(models: Models, codes: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, log likelihoods by language), block by block of whole parts."""
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    numbers, sums, a = [], [], 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + CHUNK)))
+        lo, hi = first[a], first[b] if b < len(first) else len(codes)
+        logs = models.log_probs(codes[lo:hi], part[lo:hi])
+        logs[codes[lo:hi] == _SPACE] = 0
+        numbers.append(part[first[a:b]])
+        sums.append(np.add.reduceat(logs, first[a:b] - lo, axis=0))
+        a = b
+    return (np.concatenate(numbers), np.concatenate(sums)) if numbers else (np.empty(0, np.int64), np.empty((0, len(LANGS)), np.float32))
+
+
 def _of(codes: np.ndarray, part: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = chosen[part]
     return codes[keep], part[keep]

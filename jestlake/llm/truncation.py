@@ -127,10 +127,10 @@ class EndModel:
                 kept = parts  # the last one has one plain end mark
             whole += [b for p in kept if (b := bare(p).strip())]
         self.vocabulary = {zlib.crc32(t.encode("utf-8", "surrogatepass")) for w in whole for t in (_shape(x) for x in _TOKEN.findall(w))}
-        rows: list[list[int]] = []
+        rows: list[np.ndarray] = []
         labels: list[int] = []
         for w in whole:
-            rows.append(features(w, self.vocabulary))
+            rows.append(np.array(features(w, self.vocabulary), np.int32))
             labels.append(0)
             seed = zlib.crc32(w.encode("utf-8", "surrogatepass"))
             for k in range(CUTS):
@@ -139,7 +139,7 @@ class EndModel:
                 at = 1 + (seed * (2 * k + 1) * 2654435761 >> 7) % (len(w) - 1)
                 piece = bare(w[:at]).strip()
                 if piece and piece != w:
-                    rows.append(features(piece, self.vocabulary))
+                    rows.append(np.array(features(piece, self.vocabulary), np.int32))
                     labels.append(1)
         self.weights = _logistic(rows, np.array(labels, np.float32))
 
@@ -152,7 +152,7 @@ class EndModel:
         return float(self.weights[np.array(features(last, self.vocabulary))].sum())
 
 
-def _logistic(rows: list[list[int]], labels: np.ndarray) -> np.ndarray:
+def _logistic(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Weights by Adagrad over mini-batches, with weight decay through the step sizes."""
     weights = np.zeros(1 << BITS, np.float32)
     if not rows:
@@ -160,7 +160,7 @@ def _logistic(rows: list[list[int]], labels: np.ndarray) -> np.ndarray:
         return weights
     grad2 = np.full(1 << BITS, 1e-6, np.float32)
     lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.array(r, np.int64) for r in rows])
+    flat = np.concatenate(rows)
     first = np.cumsum(lengths) - lengths
     order_rng = np.random.default_rng(5)
     size = 64
