@@ -15,7 +15,9 @@ def distinct_n(df: DataFrame, text: str, n: int, by: list[str], into: str | None
 
     Counts per n-gram are combined before the shuffle on (group, n-gram); no group is gathered anywhere.
     """
-    grams = df.select(*by, F.explode(ngrams(words(F.lower(F.col(text))), n)).alias("_g"))
+    # tokens become a column first: inside the lambda of ngrams they would be cut anew for every place
+    tokens = df.select(*by, words(F.lower(F.col(text))).alias("_w"))
+    grams = tokens.select(*by, F.explode(ngrams(F.col("_w"), n)).alias("_g"))
     counts = grams.groupBy(*by, F.concat_ws("\u0001", "_g").alias("_g")).agg(F.count("*").alias("_n"))
     share = counts.groupBy(*by).agg((F.count("*") / F.sum("_n")).alias("_d"))
     return df.select(*by).distinct().join(share, by, "left").select(*by, F.coalesce("_d", F.lit(0.0)).alias(into or f"distinct_{n}"))

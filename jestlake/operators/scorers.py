@@ -62,7 +62,7 @@ def word_pair(t: Column, prompt: Column) -> Column:
     a, b = pair_words(prompt)
     low = F.lower(t)
     hits = F.contains(low, strip(F.lower(a))).cast("int") + F.contains(low, strip(F.lower(b))).cast("int")
-    return F.when(a.isNull() | b.isNull(), None).otherwise(F.when(hits == 2, 2.0).when(hits == 1, -1.0).otherwise(-2.0))
+    return F.when(hits == 2, 2.0).when(hits == 1, -1.0).when(hits == 0, -2.0)  # null words give null hits
 
 
 def text_size(t: Column, lang: Lang = "en") -> Column:
@@ -119,8 +119,8 @@ def coherence(t: Column, lang: Lang = "en", weight: float = L.COHERENCE_WEIGHT)
         else:
             capitals = rf"(?<!{L.WORD})[A-Z][a-z]*(?!{L.WORD})"
             size, hits, limit = word_count(t), F.regexp_count(t, F.lit(capitals)), L.CAPITALS_LIMIT
-        ratio = F.try_divide(hits, size)
-        return F.when(ratio > limit, F.lit(-weight) * (ratio - limit)).otherwise(0.0)
+        # greatest skips the null ratio of an empty text
+        return F.lit(-weight) * F.greatest(F.try_divide(hits, size) - limit, F.lit(0.0)) + F.lit(0.0)
 
     return by_language(lang, one)
 
@@ -161,8 +161,8 @@ def word_pair_v0(t: Column, prompt: Column) -> Column:
     """Only prompts that contain two words; a word is looked for inside single words."""
     pick = lambda g: F.lower(F.nullif(F.regexp_extract(prompt, L.EARLY_PAIR_PATTERN, g), F.lit("")))
     a, b = pick(1), pick(2)
-    own = F.regexp_extract_all(F.lower(t), F.lit(f"({L.NON_WS}+)"), F.lit(1))
-    found = lambda w: F.exists(own, lambda x: F.contains(x, w)).cast("int")
+    # a word inside one of the text's words: the text contains it and it has no white space itself
+    found = lambda w: (F.contains(F.lower(t), w) & ~w.rlike(L.WS)).cast("int")
     hits = found(a) + found(b)
     return F.when(~F.contains(prompt, F.lit("two words")) | a.isNull() | b.isNull(), None).otherwise(F.when(hits == 2, 2.0).when(hits == 1, -1.0).otherwise(-2.0))
 
