@@ -174,3 +174,37 @@ def count_tokens(df: DataFrame, text: str, vocab_path: str = VOCAB, into: str =
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
     return df.mapInArrow(run, f"{fields}, `{into}` bigint")
+
+
+_libraries: dict[str, object] = {}
+
+
+def _library(path: str):
+    """Encoder of a tokenizer file by its library: .json by tokenizers, .model by sentencepiece; made once per process."""
+    if path not in _libraries:
+        if path.endswith(".model"):
+            import sentencepiece
+
+            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            _libraries[path] = lambda texts: pieces.encode(texts, num_threads=1)
+        else:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(path)
+            own.encode_special_tokens = True  # their strings in a text are ordinary text
+            own.no_truncation()
+            _libraries[path] = lambda texts: [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    return _libraries[path]
+
+
+def encode_by_library(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """(key, ids) by a tokenizer that isn't byte-level merging over ranks; nulls and empty texts give an empty list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _library(path)
+        for batch in _slices(batches, 200):
+            ids = own([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["_k", "ids"])
+
+    source = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    return source.mapInArrow(run, f"_k {source.schema['_k'].dataType.simpleString()}, ids array<int>").withColumnRenamed("_k", key)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import bpe, consensus, langid, mixing, neardup, overlap, pairs, sentences, truncation, unify
 
+TOKENIZERS = "/opt/tokenizers"
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.label_items(table(spark, sf_dir, "data_llm_eval")).select("item_id", "label")
@@ -89,6 +91,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_ids_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+
+
+def p8_ids_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_by_library(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def p8_ids_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_by_library(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.chosen(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 

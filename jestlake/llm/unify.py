@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # CJK radical forms and the ideographs that look like them (the Kangxi block has NFKC mappings already).
 RADICALS = dict(
     (line[0], line[1])
@@ -146,7 +148,8 @@ def unify(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     source = df.select(F.col(key).alias("_u_key"), F.col(text).alias("_u_text"))
     key_type = source.schema["_u_key"].dataType.simpleString()
-    folded = source.mapInArrow(_folded_batches, f"_u_key {key_type}, _u_form string, _u_words array<string>")
+    # read by several branches below: folded once, not once a branch
+    folded = cut(source.mapInArrow(_folded_batches, f"_u_key {key_type}, _u_form string, _u_words array<string>"))
     pairs = F.expr("transform(sequence(0, cast(size(_u_words) / 2 as int) - 1), i -> struct(_u_words[2 * i] as _u_from, _u_words[2 * i + 1] as _u_to))")
     suspects = folded.where(F.size("_u_words") > 0).select("_u_key", F.explode(pairs).alias("p")).select("_u_key", "p.*")
     wanted = suspects.select(F.lower("_u_to").alias("_u_word")).distinct()

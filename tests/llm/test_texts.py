@@ -155,6 +155,26 @@ def test_encoding_matches_public_encoder(spark):
     assert all(b"".join(back[x] for x in got[i]).decode() == (t or "") for i, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_library_encoders(spark, name):
+    texts = [None, "", "A cat <|endoftext|> sat.", "一只猫", "x" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    got = {r["k"]: r["ids"] for r in bpe.encode_by_library(df, "k", "t", f"/opt/tokenizers/{name}").collect()}
+    assert got[0] == got[1] == [] and all(got[i] for i in (2, 3, 4)) and 49407 not in got[2]
+
+
+def test_multilingual_ranks():
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+
+    path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(7)
+    texts = [sentence(rng) + " 一只猫跳过月亮 Ünï ñandú こんにちは" + "".join(chr(rng.randrange(32, 0x3100)) for _ in range(30)) for _ in range(200)]
+    assert all(list(ids) == enc.encode_ordinary(t) for ids, t in zip(bpe.encoder(path).encode_batch(texts), texts))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60))
 def test_encoding_of_any_text(text):
