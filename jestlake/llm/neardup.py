@@ -29,7 +29,8 @@ BANDS, ROWS = 64, 4  # finds a pair of similarity 0.5 with probability 0.984, on
 SKETCH_BITS = 128  # one bit of each of as many further minima
 SKETCH_AGREE = 82  # of 128; a pair of similarity 0.5 agrees in 96 +- 4.9
 SIMILARITY = 0.5  # exact Jaccard similarity of the shingle sets
-BUCKET = 64  # larger buckets go by their leader instead of all pairs
+BUCKET = 64  # larger buckets are paired in blocks
+BLOCK = 1024  # classes in a block of a larger bucket
 SLICE = 500  # texts signed at once
 _PRIME = (1 << 31) - 1
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
@@ -134,36 +135,34 @@ def _agree(a: str, b: str) -> Column:
 def candidate_links(signed: DataFrame, extra: list[str] = (), wanted: Column | None = None) -> DataFrame:
     """(a, b) with a < b: classes that share a bucket and whose sketches agree.
 
-    Buckets of up to BUCKET classes give their agreeing pairs. In a larger one every class is held against the bucket's
-    leader (its least id): agreeing ones are linked to it, the rest form a smaller bucket with a new leader, three times;
-    what is left after that gives its agreeing pairs, so that no link between different texts is lost to a cap.
-    wanted: a condition on columns a.* and b.* that pairs must meet (then buckets of any size give pairs).
+    Every two classes of a bucket are held against each other, whatever its size: those of more than BUCKET classes are
+    spread over blocks of about BLOCK classes by a hash, and every two blocks meet in one task of bounded size.
+    wanted: a condition on columns a.* and b.* that pairs must meet.
     """
     rows = signed.select("_id", "s0", "s1", *extra, F.explode("bands").alias("bucket"))
     # buckets of one class are nearly all and go at once; the sizes of the others tell whether any is large
     sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     rows = rows.join(sizes, "bucket")
 
-    def pairs(part: DataFrame, on: list[str]) -> DataFrame:
-        a, b = part.alias("a"), part.alias("b")
-        cond = F.col("a._id") < F.col("b._id")
-        for c in on:
-            cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-        met = a.join(b, cond).where(_agree("a", "b"))
-        return (met.where(wanted) if wanted is not None else met).select(F.col("a._id").alias("a"), F.col("b._id").alias("b"))
+    def met(both: DataFrame) -> DataFrame:
+        agreeing = both.where(_agree("a", "b"))
+        if wanted is not None:
+            agreeing = agreeing.where(wanted)
+        return agreeing.select(F.least("a._id", "b._id").alias("a"), F.greatest("a._id", "b._id").alias("b"))
+
+    def pairs(part: DataFrame) -> DataFrame:
+        return met(part.alias("a").join(part.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a._id") < F.col("b._id"))))
 
-    if wanted is not None:
-        return pairs(rows, ["bucket"]).distinct()
     if sizes.where(F.col("n") > BUCKET).isEmpty():
-        return pairs(rows, ["bucket"]).distinct()
-    links = pairs(rows.where(F.col("n") <= BUCKET), ["bucket"])
-    rest = cut(rows.where(F.col("n") > BUCKET).drop("n"))
-    for _ in range(3):
-        leaders = rest.groupBy("bucket").agg(F.min(F.struct("_id", "s0", "s1")).alias("l")).select("bucket", "l.*")
-        held = rest.alias("b").join(leaders.alias("a"), F.col("a.bucket") == F.col("b.bucket")).where("a._id <> b._id").withColumn("_ok", _agree("a", "b"))
-        links = links.union(held.where("_ok").select(F.col("a._id").alias("a"), F.col("b._id").alias("b")))
-        rest = cut(held.where("not _ok").select("b.bucket", "b._id", "b.s0", "b.s1", *(f"b.{c}" for c in extra)))
-    return links.union(pairs(rest, ["bucket"])).distinct()
+        return pairs(rows).distinct()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    spread = rows.where(F.col("n") > BUCKET).withColumn("_of", blocks).withColumn("_own", F.pmod(F.xxhash64("_id", "bucket"), F.col("_of")).cast("int")).drop("n")
+    # block i meets block j >= i: a row of block k is a first one of (k, k..) and a second one of (..k, k)
+    a = spread.withColumn("_i", F.col("_own")).withColumn("_j", F.explode(F.sequence("_own", F.col("_of") - 1))).alias("a")
+    b = spread.withColumn("_j", F.col("_own")).withColumn("_i", F.explode(F.sequence(F.lit(0), "_own"))).alias("b")
+    same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
+    large = met(a.join(b, same & ((F.col("a._i") < F.col("a._j")) | (F.col("a._id") < F.col("b._id")))))
+    return pairs(rows.where(F.col("n") <= BUCKET)).union(large).distinct()
 
 
 def verified(links: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -108,6 +108,27 @@ def test_near_duplicates(spark, monkeypatch, bucket):
     assert got == brute(rows)[1]
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_jokes_of_one_frame(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(9)
+    frame = [f"frame{i}" for i in range(21)]  # unrelated jokes share it: 20 of 48 pairs of words, about 0.417
+    texts = []
+    for i in range(300):
+        own = [f"own{i}x{k}" for k in range(14)]
+        texts += [" ".join(frame + own), " ".join(frame + own[:10] + [f"other{i}x{k}" for k in range(4)])]
+    rng.shuffle(texts)
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "joke_id bigint, joke string, norm string")
+    signed = neardup.signatures(neardup.text_classes(df, "joke_id", "joke")).cache()
+    assert signed.selectExpr("explode(bands) as b").groupBy("b").count().where(F.col("count") > neardup.BUCKET).count() > 0
+    got = {tuple(r) for r in neardup.candidate_links(signed).collect()}
+    # every agreeing pair that shares a bucket, by brute force
+    held = {r["_id"]: (set(r["bands"]), (r["s0"] & (1 << 64) - 1) << 64 | r["s1"] & (1 << 64) - 1) for r in signed.collect()}
+    want = {(a, b) for a in held for b in held if a < b and (held[a][1] ^ held[b][1]).bit_count() <= neardup.SKETCH_BITS - neardup.SKETCH_AGREE and held[a][0] & held[b][0]}
+    assert got == want
+
+
 def test_overlap(spark):
     rows = corpus(5)
     df = spark.createDataFrame([(*r, "s" if i % 3 else None, i % 4) for i, r in enumerate(rows)], "joke_id bigint, joke string, split_name string, source string, labels int")
