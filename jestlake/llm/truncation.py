@@ -9,7 +9,8 @@ texts at other lengths are read too, against the rate of breaks of their own gro
 
 Completeness is judged by a regularised logistic model over hashed features (the last words, the first words, what lies
 between, open quotations), fitted without labels on a bounded sample of texts (SAMPLE, least key hash): sentences followed
-by another one are complete, the same sentences cut at random places are not.
+by another one are complete, the same sentences cut at random places are not. Whether a last word is a known one is looked up
+in the words of the complete sentences of all texts, those that only end the same text aside.
 
 Defined results: null, blank and mark-only texts are no truncated texts; a text of one word is read like any other; dots,
 marks and damage after the break are ignored; ties at a significant length are all read; repeated rows get equal results;
@@ -18,6 +19,7 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -91,11 +93,40 @@ def _key(*parts: str) -> int:
     return zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
-def features(unit: str, vocabulary: set[int]) -> list[int]:
-    """Hashed features of a sentence without its end mark."""
+def _words(unit: str) -> list[str]:
+    """Tokens of a sentence without its end mark."""
     toks = [_shape(t) for t in _TOKEN.findall(unit)]
     if toks and len(toks[-1]) > 1 and toks[-1][-1] == ".":
         toks[-1] = toks[-1][:-1]
+    return toks
+
+
+def _spelt(word: str) -> bool:
+    """Whether a token is a word of letters that a break could cut."""
+    return word[0].isalpha() and not re.match(rf"[{CJK}]", word)
+
+
+def complete(text: str) -> tuple[list[str], list[str]]:
+    """Complete sentences of a text without their marks: those before the last one, and the last one if it has one plain end mark."""
+    parts = units(text)
+    last = parts[-1:] if parts and re.search(r"[^.][.!?。！？][\"”»」』]?\s*$", parts[-1]) else []
+    inner, last = ([b for p in some if (b := bare(p).strip())] for some in (parts[:-1], last))
+    return inner, last
+
+
+def known_words(text: str) -> tuple[set[str], str | None]:
+    """Words of the complete sentences of a text; apart from them the one that stands only at its very end."""
+    inner, last = complete(text)
+    known = {w for s in inner for w in _words(s) if _spelt(w)}
+    toks = _words(last[0]) if last else []
+    known.update(w for w in toks[:-1] if _spelt(w))
+    final = toks[-1] if toks and _spelt(toks[-1]) and toks[-1] not in known else None
+    return known, final
+
+
+def features(unit: str, vocabulary: set[int] | None) -> list[int]:
+    """Hashed features of a sentence without its end mark; without a vocabulary none of an unknown last word."""
+    toks = _words(unit)
     if not toks:
         return [_key("none")]
     script = "c" if re.match(rf"[{CJK}]", toks[-1]) else "l"
@@ -107,7 +138,7 @@ def features(unit: str, vocabulary: set[int]) -> list[int]:
             out.append(_key(str(k), *toks[-k:]))
     if n >= 2:
         out.append(_key("s2", start, *toks[-2:]))
-    if script == "l" and toks[-1][0].isalpha() and zlib.crc32(toks[-1].encode("utf-8", "surrogatepass")) not in vocabulary:
+    if vocabulary is not None and _spelt(toks[-1]) and zlib.crc32(toks[-1].encode("utf-8", "surrogatepass")) not in vocabulary:
         out.append(_key("unknown"))
     out.append(_key("open", str((unit.count("“") > unit.count("”")) + 2 * (unit.count('"') % 2) + 4 * (unit.count("«") > unit.count("»")) + 8 * (unit.count("(") > unit.count(")")))))
     inner = {f"{a}{b}" for a, b in zip(toks, toks[1:])} if script == "c" else set(toks[2:])
@@ -121,11 +152,8 @@ class EndModel:
     def __init__(self, texts: list[str]):
         whole = []
         for text in texts:
-            parts = units(text)
-            kept = parts[:-1]
-            if parts and re.search(r"[^.][.!?。！？][\"”»」』]?\s*$", parts[-1]):
-                kept = parts  # the last one has one plain end mark
-            whole += [b for p in kept if (b := bare(p).strip())]
+            inner, last = complete(text)
+            whole += inner + last
         self.vocabulary = {zlib.crc32(t.encode("utf-8", "surrogatepass")) for w in whole for t in (_shape(x) for x in _TOKEN.findall(w))}
         rows: list[np.ndarray] = []
         labels: list[int] = []
@@ -144,12 +172,24 @@ class EndModel:
         self.weights = _logistic(rows, np.array(labels, np.float32))
 
     def score(self, text: str) -> float:
-        """log odds of an incomplete last sentence."""
+        """log odds of an incomplete last sentence, by the words of the model's own texts."""
+        odds, word = self.reading(text)
+        unknown = word is not None and zlib.crc32(word.encode("utf-8", "surrogatepass")) not in self.vocabulary
+        return odds + (self.unknown if unknown else 0.0)
+
+    def reading(self, text: str) -> tuple[float, str | None]:
+        """log odds of an incomplete last sentence if its last word is known, and that word (none in other scripts)."""
         parts = units(bare(text))
         last = bare(parts[-1]).strip() if parts else ""
         if not last:
-            return -20.0
-        return float(self.weights[np.array(features(last, self.vocabulary))].sum())
+            return -20.0, None
+        toks = _words(last)
+        return float(self.weights[np.array(features(last, None))].sum()), toks[-1] if toks and _spelt(toks[-1]) else None
+
+    @property
+    def unknown(self) -> float:
+        """Weight of an unknown last word."""
+        return float(self.weights[_key("unknown")])
 
 
 def _logistic(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -209,24 +249,50 @@ def length_hazards(sizes: DataFrame) -> DataFrame:
 
 
 def _measures(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """(_k, source, text) to (_k, source, odds, tail, chars, bytes, bare)."""
+    """(_k, source, text) to (_k, source, odds, tail, chars, bytes, bare, word, own): its last word and the hash of the text."""
     for batch in batches:
-        odds, tails, chars, sizes, bares = [], [], [], [], []
+        odds, tails, chars, sizes, bares, words, owns = [], [], [], [], [], [], []
         for text in batch.column(2).to_pylist():
             if text is None or announces(text):
-                odds.append(None), tails.append(None), chars.append(None), sizes.append(None), bares.append(None)
+                odds.append(None), tails.append(None), chars.append(None), sizes.append(None), bares.append(None), words.append(None), owns.append(None)
                 continue
             b = bare(text)
             rest = text[len(b) :] if text.startswith(b) else text[-3:]
             plain = _REMARK.sub("", rest).strip()
             kind = "damage" if "�" in rest else "dots" if re.search(r"\.\.|…", rest) else "mark" if re.search(r"[.!?。！？]", plain) else "remark" if rest.strip() else "none"
-            odds.append(model.score(text)), tails.append(kind), chars.append(len(text)), sizes.append(len(text.encode("utf-8", "surrogatepass"))), bares.append(len(b))
+            read, word = model.reading(text)
+            words.append(word), owns.append(_text_hash(text))
+            odds.append(read), tails.append(kind), chars.append(len(text)), sizes.append(len(text.encode("utf-8", "surrogatepass"))), bares.append(len(b))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(odds, pa.float64()), pa.array(tails, pa.string()), pa.array(chars, pa.int32()), pa.array(sizes, pa.int32()), pa.array(bares, pa.int32())],
-            names=["_k", "source", "odds", "tail", "chars", "bytes", "bare"],
+            [batch.column(0), batch.column(1), pa.array(odds, pa.float64()), pa.array(tails, pa.string()), pa.array(chars, pa.int32()), pa.array(sizes, pa.int32()), pa.array(bares, pa.int32()), pa.array(words, pa.string()), pa.array(owns, pa.int64())],
+            names=["_k", "source", "odds", "tail", "chars", "bytes", "bare", "word", "own"],
         )
 
 
+def _text_hash(text: str) -> int:
+    """Of what stands before the break, so that marks put after it change nothing."""
+    return int.from_bytes(hashlib.blake2b(bare(text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_t) to (word, ending): the words of complete sentences; ending: a hash of the text if the word only ends it, else null."""
+    for batch in batches:
+        rows: set[tuple[str, int | None]] = set()
+        for text in batch.column(0).to_pylist():
+            known, final = known_words(text)
+            rows.update((w, None) for w in known)
+            if final is not None:
+                rows.add((final, _text_hash(text)))
+        words, ends = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ends, pa.int64())], names=["word", "ending"])
+
+
+def vocabulary(df: DataFrame, text: str) -> DataFrame:
+    """(word, inner, low, high): every word of a complete sentence, whether any text has it before its end, and the least and greatest hash of those it only ends."""
+    listed = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_t")).mapInArrow(_listed, "word string, ending bigint")
+    return listed.groupBy("word").agg(F.max(F.col("ending").isNull()).alias("inner"), F.min("ending").alias("low"), F.max("ending").alias("high"))
+
+
 def sample_texts(df: DataFrame, key: str, text: str, size: int = SAMPLE) -> list[str]:
     """The bounded sample the model of endings is fitted on."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.xxhash64(key).alias("_h"), F.col(key).alias("_k"))
@@ -235,17 +301,23 @@ def sample_texts(df: DataFrame, key: str, text: str, size: int = SAMPLE) -> list
 
 def read_endings(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(_k, source, odds, tail, at_limit): log odds of an incomplete ending, what trails it, and whether it ends at a significant length."""
-    model = df.sparkSession.sparkContext.broadcast(EndModel(sample_texts(df, key, text)))  # a fixed number of weights
+    fitted = EndModel(sample_texts(df, key, text))
+    model = df.sparkSession.sparkContext.broadcast(fitted)  # a fixed number of weights
     rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("_t"))
     kind = rows.schema["_k"].dataType.simpleString()
-    read = cut(rows.mapInArrow(lambda it: _measures(it, model.value), f"_k {kind}, source string, odds double, tail string, chars int, bytes int, bare int").where("odds is not null"))
+    read = cut(rows.mapInArrow(lambda it: _measures(it, model.value), f"_k {kind}, source string, odds double, tail string, chars int, bytes int, bare int, word string, own bigint").where("odds is not null"))
     lengths = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes", "bare"))))
     sizes = read.select("source", lengths.alias("l")).select("source", "l.*")
     # one row per source and significant length: as many as there are limits in use
     limits = length_hazards(sizes).where("significant").select("source", "unit", "length")
     slack = F.explode(F.sequence(F.col("length"), F.col("length") + F.when(F.col("unit") == "bytes", 2).otherwise(0)))
     hit = read.select("_k", "source", lengths.alias("l")).select("_k", "source", "l.*").join(limits.withColumn("length", slack).distinct(), ["source", "unit", "length"], "left_semi")
-    return read.join(hit.select("_k").distinct().withColumn("_hit", F.lit(True)), "_k", "left").select("_k", "source", "odds", "tail", F.coalesce("_hit", F.lit(False)).alias("at_limit"))
+    known = vocabulary(df, text).withColumnRenamed("word", "_w")
+    # texts without such a word are spread over keys of their own
+    looked = read.withColumn("_w", F.coalesce("word", F.concat(F.lit(" "), F.pmod(F.xxhash64("_k"), F.lit(1024)).cast("string")))).join(known, "_w", "left")
+    unknown = F.col("word").isNotNull() & ~F.coalesce(F.col("inner") | (F.col("low") != F.col("own")) | (F.col("high") != F.col("own")), F.lit(False))
+    odds = F.col("odds") + F.when(unknown, F.lit(fitted.unknown)).otherwise(0.0)
+    return looked.join(hit.select("_k").distinct().withColumn("_hit", F.lit(True)), "_k", "left").select("_k", "source", odds.alias("odds"), "tail", F.coalesce("_hit", F.lit(False)).alias("at_limit"))
 
 
 def judged(df: DataFrame, key: str, text: str, source: str, rounds: int = 4) -> DataFrame:

@@ -123,6 +123,20 @@ def test_endings_held_out():
     assert np.mean([model.score(t) > 0 for t in cut]) > 0.85 and np.mean([model.score(t) < 1 for t in whole]) > 0.95
 
 
+def test_last_words_of_every_text(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "SAMPLE", 20)
+    rng = random.Random(6)
+    pets = "cat dog moon lamp bridge swan clerk spoon".split()
+    texts = [f"The {rng.choice(pets)} met a {rng.choice(pets)}. Then it saw the {rng.choice(pets)}." for _ in range(200)]
+    texts += ["It was a kaktus that met us. Then it saw the dog.", "The cat met a dog. Then it saw the kaktus", "The cat met a dog. Then it saw the kakt.", "The cat met a dog. Then it saw the kakt...", "The moon met a dog. Then it saw the Zebra.", "The lamp met a dog. Then it saw the zebra!"]
+    df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "k bigint, t string, source string")
+    model = truncation.EndModel(truncation.sample_texts(df, "k", "t"))
+    odds = {r["_k"]: r["odds"] for r in truncation.read_endings(df, "k", "t", "source").collect()}
+    unknown = {k: round(odds[k] - model.reading(texts[k])[0], 6) != 0 for k in range(200, 206)}
+    # a word of another text is known, sampled or not; one that only ends this very text is not
+    assert model.unknown != 0 and unknown == {200: False, 201: False, 202: True, 203: True, 204: False, 205: False}
+
+
 def test_hazards_find_limits(spark):
     rng = random.Random(5)
     lengths = [("a", "chars", rng.randrange(50, 400)) for _ in range(3000)] + [("a", "chars", 200)] * 60 + [("b", "chars", rng.randrange(50, 400)) for _ in range(3000)]
