@@ -5,9 +5,10 @@ and events gives the likelihood of both, and forward-backward over the possible
 posterior. Possible places are ends of lines (always a boundary), end marks with what closes after them, and white space
 beside a letter of a script without word spaces. Nothing inside brackets, titles or quotations is a place.
 
-The model is fitted without labels on a bounded sample of documents (SAMPLE per declared language, least key hash): ends of
-lines are sure boundaries, gaps without a mark are sure non-boundaries, all other places are unknown at first; places that
-the first model decides clearly are counted in the next of ROUNDS fits.
+The model is fitted without labels on all documents: ends of lines are sure boundaries, gaps without a mark are sure
+non-boundaries, all other places are unknown at first; places that the first model decides clearly are counted in the next of
+ROUNDS fits. Counts are aggregated in Spark, one pass a round, and never held whole: documents are read in groups of about
+GROUP_CHARS code points, and each group gets the counts that its own places ask for by a join.
 
 Defined results: null and blank texts have no sentence; a text of marks alone is one sentence; sentences never overlap, hold
 no outer white space and leave nothing but white space out; unclosed brackets or quotations reach nowhere; texts of any
@@ -24,12 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .langid import least_hashes
+from ..session import cut
 
-SAMPLE = 800  # documents per declared language, and as many of the unlabelled
+GROUP_CHARS = 500_000  # code points read with one lookup of counts
 ROUNDS = 3
 SURE = 0.9
 START_UPPER = 0.9995
@@ -301,71 +301,96 @@ def _cased(text: str) -> bool:
     return any(c.isupper() for c in text)
 
 
-def fit(texts: list[str]) -> EventModel:
-    """The model of a bounded sample of documents."""
-    prepared = []
-    for text in texts:
-        cased = _cased(text)
-        for _, line in _lines(text):
-            stripped = line.strip()
-            prepared.append((stripped, places(stripped), cased))
-    model: EventModel | None = None
-    for _ in range(ROUNDS):
-        new = EventModel()
-        case_yes, case_no = [1.0, 1.0], [1.0, 1.0]
-        kinds_yes, kinds_all = Counter(), Counter()
-        occurrences: Counter = Counter()
-        for line, found, cased in prepared:
-            if model is None:
-                sure = [None] * len(found)
-            else:
-                sure = [True if p > SURE else False if p < 1 - SURE else None for p in model.posteriors(found, cased)]
-            run, at = ["<b>"], 0
-            for place, b in zip(found, sure):
-                run += [_shape(t) for t in _TOKEN.findall(line, at, place.at)]
-                at = place.reach
-                kinds_all[place.kind] += 1
-                occurrences[place.left[1]] += 1
-                occurrences[place.left] += 1
-                if b is False:
-                    for key in (place.left[1], place.left):
-                        new.seen[key] += 1
-                    if cased and place.upper:
-                        case_no[place.upper < 0] += 1
-                    continue
-                new.count(run)
-                run = []
-                if b:
-                    for key in (place.left[1], place.left):
-                        new.seen[key] += 1
-                        new.ends[key] += 1
-                    kinds_yes[place.kind] += 1
-                    if cased and place.upper:
-                        case_yes[place.upper < 0] += 1
-                    run = ["<b>"]
-            run += [_shape(t) for t in _TOKEN.findall(line, at)]
+class _Tally:
+    """Counts of one round over any lines, and the model they give."""
+
+    def __init__(self):
+        self.new = EventModel()
+        self.case_yes, self.case_no = [0, 0], [0, 0]
+        self.kinds_yes, self.kinds_all = Counter(), Counter()
+        self.occurrences: Counter = Counter()
+
+    def add(self, line: str, found: list[_Place], cased: bool, model: EventModel | None) -> None:
+        new = self.new
+        if model is None:
+            sure = [None] * len(found)
+        else:
+            sure = [True if p > SURE else False if p < 1 - SURE else None for p in model.posteriors(found, cased)]
+        run, at = ["<b>"], 0
+        for place, b in zip(found, sure):
+            run += [_shape(t) for t in _TOKEN.findall(line, at, place.at)]
+            at = place.reach
+            self.kinds_all[place.kind] += 1
+            self.occurrences[place.left[1]] += 1
+            self.occurrences[place.left] += 1
+            if b is False:
+                for key in (place.left[1], place.left):
+                    new.seen[key] += 1
+                if cased and place.upper:
+                    self.case_no[place.upper < 0] += 1
+                continue
             new.count(run)
-            # the end of the line is a sure boundary after what would be left of it
-            last = places(line + " \u0001")
-            if last and (model is None or last[-1].at >= len(line)):
-                for key in (last[-1].left[1], last[-1].left):
+            run = []
+            if b:
+                for key in (place.left[1], place.left):
                     new.seen[key] += 1
                     new.ends[key] += 1
-                    occurrences[key] += 1
+                self.kinds_yes[place.kind] += 1
+                if cased and place.upper:
+                    self.case_yes[place.upper < 0] += 1
+                run = ["<b>"]
+        run += [_shape(t) for t in _TOKEN.findall(line, at)]
+        new.count(run)
+        # the end of the line is a sure boundary after what would be left of it
+        last = places(line + " \u0001")
+        if last and (model is None or last[-1].at >= len(line)):
+            for key in (last[-1].left[1], last[-1].left):
+                new.seen[key] += 1
+                new.ends[key] += 1
+                self.occurrences[key] += 1
+
+    def settle(self, first: bool) -> EventModel:
+        """The model of lines counted here alone."""
+        new = self.new
         new.close()
-        if model is None:
-            # a token at n places with no sure boundary among them is hardly ever one: ends of lines are a fair sample
+        if first:
             ends = sum(c for k, c in new.ends.items() if isinstance(k, str))
-            every = sum(c for k, c in occurrences.items() if isinstance(k, str))
+            every = sum(c for k, c in self.occurrences.items() if isinstance(k, str))
             new.sure_share = ends / max(1, every)
-            for key, c in occurrences.items():
+            for key, c in self.occurrences.items():
                 new.seen[key] = max(new.ends[key], c * new.sure_share)
-            new.prior = {k: 0.85 for k in kinds_all}
-        else:
-            new.case = {True: max(START_UPPER, case_yes[0] / sum(case_yes)), False: case_no[0] / sum(case_no)}
-            new.prior = {k: (kinds_yes[k] + 1) / (c + 2) for k, c in kinds_all.items()}
-        new.prior.setdefault(" ", 0.5)
-        model = new
+        _settings(new, first, self.kinds_yes, self.kinds_all, self.case_yes, self.case_no)
+        return new
+
+
+def _settings(model: EventModel, first: bool, kinds_yes: Counter, kinds_all: Counter, case_yes: list[float], case_no: list[float]) -> None:
+    """The few numbers of a model that belong to no token."""
+    if first:
+        # a token at n places with no sure boundary among them is hardly ever one: ends of lines are a fair sample
+        model.prior = {k: 0.85 for k in kinds_all}
+    else:
+        model.case = {True: max(START_UPPER, (case_yes[0] + 1) / (sum(case_yes) + 2)), False: (case_no[0] + 1) / (sum(case_no) + 2)}
+        model.prior = {k: (kinds_yes[k] + 1) / (c + 2) for k, c in kinds_all.items()}
+    model.prior.setdefault(" ", 0.5)
+
+
+def _prepared(texts: list[str]) -> Iterator[tuple[str, list[_Place], bool]]:
+    for text in texts:
+        cased = _cased(text)
+        for _, line in _lines(text):
+            stripped = line.strip()
+            yield stripped, places(stripped), cased
+
+
+def fit(texts: list[str]) -> EventModel:
+    """The model of texts held in memory."""
+    prepared = list(_prepared(texts))
+    model: EventModel | None = None
+    for _ in range(ROUNDS):
+        tally = _Tally()
+        for line, found, cased in prepared:
+            tally.add(line, found, cased, model)
+        model = tally.settle(model is None)
     return model
 
 
@@ -388,30 +413,110 @@ def split(text: str, model: EventModel) -> list[tuple[int, int]]:
     return out
 
 
-def sample_texts(df: DataFrame, key: str, text: str, lang: str, per_language: int = SAMPLE) -> list[str]:
-    """The bounded sample the model is fitted on."""
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.coalesce(F.lower(F.col(lang)), F.lit("")).alias("_l")).where("_t is not null")
-    known = F.when(F.col("_l").isin("en", "es", "zh", "fr", "de", "pt", "ja"), F.col("_l")).otherwise("")
-    kept = least_hashes(rows.withColumn("_l", known).withColumn("_h", F.xxhash64("_k")), "_l", per_language)
-    first = F.row_number().over(W.partitionBy("_l").orderBy("_h", "_k"))
-    taken = kept.withColumn("_n", first).where(F.col("_n") <= per_language).select("_t").collect()
-    return sorted(r["_t"] for r in taken)
+_SEP, _OWN = "\x1f", "\x1e"  # white space to Python, so inside no token; _OWN begins the names of counts that belong to no token
+_COUNTS = "g int, key string, need boolean, n double, ends double, seen double, occ double"
+
+
+def _name(key: str | tuple[str, ...]) -> str:
+    return key if isinstance(key, str) else _SEP.join(key)
 
 
-def split_documents(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def _asked(place: _Place) -> Iterator[tuple[str, ...]]:
+    """Keys of all counts that the odds at a place depend on."""
+    w1, t = place.left[1], place.right[:2]
+    yield from (("<b>",), (w1,))
+    for w2 in (place.left[0], "<b>"):
+        yield (w2, w1)
+        if t:
+            yield (w2, w1, t[0])
+    if t:
+        yield from ((t[0],), ("<b>", t[0]), (w1, t[0]))
+    if len(t) > 1:
+        yield from ((t[1],), t, ("<b>", *t), (w1, *t))
+
+
+def _counted(group: pa.Table, model: EventModel | None) -> pa.Table:
+    """Counts of a group of documents (_COUNTS); in the first round also the keys its places ask for."""
+    tally, need = _Tally(), set()
+    for line, found, cased in _prepared(group.column("_t").to_pylist()):
+        tally.add(line, found, cased, model)
+        if model is None:
+            for place in found:
+                need.update(map(_name, _asked(place)))
+    rows: dict[str, list[float]] = {k: [0.0] * 4 for k in need}
+    for at, counts in enumerate((*tally.new.grams, tally.new.ends, tally.new.seen, tally.occurrences)):
+        at = max(0, at - 2)
+        for key, c in counts.items():
+            rows.setdefault(_name(key), [0.0] * 4)[at] += c
+    own = {"yes" + k: c for k, c in tally.kinds_yes.items()} | {"all" + k: c for k, c in tally.kinds_all.items()}
+    own |= {f"case{i}{j}": c for i, pair in enumerate((tally.case_yes, tally.case_no)) for j, c in enumerate(pair)}
+    rows |= {_OWN + k: [float(c), 0.0, 0.0, 0.0] for k, c in own.items()}
+    flat = np.array(list(rows.values()), np.float64).reshape(-1, 4)
+    g = group.column("g")[0].as_py()
+    return pa.table({"g": pa.array([g] * len(rows), pa.int32()), "key": pa.array(list(rows), pa.string()), "need": pa.array([k in need for k in rows], pa.bool_()), **{c: flat[:, i] for i, c in enumerate(("n", "ends", "seen", "occ"))}})
+
+
+def _settled(raw: DataFrame, first: bool) -> tuple[EventModel, DataFrame]:
+    """A round's model without its counts, and its counts (key, n, ends, seen, kinds, after), one row a key."""
+    raw = raw.where("n > 0 or ends > 0 or seen > 0 or occ > 0")
+    own = F.col("key").startswith(_OWN)
+    few = {r["key"][1:]: r["n"] for r in raw.where(own).groupBy("key").agg(F.sum("n").alias("n")).collect()}  # kinds of places and cases
+    totals = cut(raw.where(~own).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "ends", "seen", "occ"))))
+    one = totals.where(~F.col("key").contains(_SEP)).agg(F.sum(F.when(F.col("key") != "<b>", F.col("n"))).alias("total"), F.count_if(F.col("n") > 0).alias("words"), F.sum("ends").alias("ends"), F.sum("occ").alias("occ")).first()
+    model = EventModel()
+    model.total, model.vocabulary = one["total"] or 0.0, one["words"] + 1
+    if first:
+        model.sure_share = (one["ends"] or 0.0) / max(1.0, one["occ"] or 0.0)
+        totals = totals.withColumn("seen", F.when(F.col("occ") > 0, F.greatest("ends", F.col("occ") * model.sure_share)).otherwise(0.0))
+    kinds = [Counter({k[3:]: c for k, c in few.items() if k.startswith(what)}) for what in ("yes", "all")]
+    _settings(model, first, *kinds, *([few.get(f"case{i}{j}", 0.0) for j in (0, 1)] for i in (0, 1)))
+    after = totals.where(F.col("key").contains(_SEP) & (F.col("n") > 0)).groupBy(F.regexp_replace("key", f"{_SEP}[^{_SEP}]*$", "").alias("key")).agg(F.count("*").cast("double").alias("kinds"), F.sum("n").alias("after"))
+    return model, totals.drop("occ").join(after, "key", "left").na.fill(0.0, ["kinds", "after"])
+
+
+def _with_counts(model: EventModel, counts: pa.Table) -> EventModel:
+    """The model with the counts of the given keys; all others are counts nobody asks for."""
+    full = EventModel()
+    full.total, full.vocabulary, full.case, full.prior = model.total, model.vocabulary, model.case, model.prior
+    full.kinds, full.after = [Counter(), Counter()], [Counter(), Counter()]
+    for name, n, ends, seen, kinds, after in zip(*(counts.column(c).to_pylist() for c in ("key", "n", "ends", "seen", "kinds", "after"))):
+        parts = tuple(name.split(_SEP))
+        key = parts if len(parts) > 1 else name
+        full.grams[len(parts) - 1][key] = n
+        if len(parts) < 3:
+            full.ends[key], full.seen[key] = ends, seen
+            full.kinds[len(parts) - 1][key], full.after[len(parts) - 1][key] = kinds, after
+    return full
+
+
+def _cut_up(group: pa.Table, model: EventModel) -> pa.Table:
+    rows, spans = [], []
+    for i, t in enumerate(group.column("_t").to_pylist()):
+        found = split(t, model)
+        rows += [i] * len(found)
+        spans += found
+    flat = np.array(spans, np.int32).reshape(-1, 2)
+    return pa.table({"_k": group.column("_k").take(pa.array(rows, pa.int64())), "start_char": pa.array(flat[:, 0]), "end_char": pa.array(flat[:, 1])})
+
+
+def split_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start_char, end_char): one row per sentence of every text."""
-    model = df.sparkSession.sparkContext.broadcast(fit(sample_texts(df, key, text, lang)))  # bounded by the sample
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, spans = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                if t:
-                    found = split(t, model.value)
-                    rows += [i] * len(found)
-                    spans += found
-            flat = np.array(spans, np.int32).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["_k", "start_char", "end_char"])
-
-    source = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    return source.mapInArrow(run, f"_k {source.schema['_k'].dataType.simpleString()}, start_char int, end_char int").withColumnRenamed("_k", key)
+    texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t <> ''")
+    groups = -(-(texts.agg(F.sum(F.length("_t").cast("bigint"))).first()[0] or 1) // GROUP_CHARS)
+    docs = texts.withColumn("g", F.pmod(F.xxhash64("_k"), F.lit(groups)).cast("int"))
+    raw = cut(docs.groupBy("g").applyInArrow(lambda group: _counted(group, None), _COUNTS))
+    needed = raw.where("need").select("g", "key")
+    model, counts = _settled(raw, True)
+
+    def with_counts(run, schema: str) -> DataFrame:
+        bare = model  # of this round
+        looked = needed.join(counts, "key").groupBy("g")
+
+        def both(group: pa.Table, counts: pa.Table) -> pa.Table:
+            return run(group, _with_counts(bare, counts))
+
+        return docs.groupBy("g").cogroup(looked).applyInArrow(both, schema)
+
+    for _ in range(ROUNDS - 1):
+        model, counts = _settled(cut(with_counts(_counted, _COUNTS)), False)
+    return with_counts(_cut_up, f"_k {texts.schema['_k'].dataType.simpleString()}, start_char int, end_char int").withColumnRenamed("_k", key)

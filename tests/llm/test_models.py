@@ -114,6 +114,23 @@ def test_sentence_table(spark):
     assert sentences.split_documents(df.where("false")).count() == 0
 
 
+def test_sentences_count_every_document(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "GROUP_CHARS", 20_000)
+    rng = random.Random(8)
+    words = "cat dog moon lamp bridge green swan angry clerk spoon soup late again".split()
+    texts = []
+    for i in range(2400):
+        body = " ".join(f"The {rng.choice(words)} met the {rng.choice(words)}{i % 7}." for _ in range(4))
+        rare = f"\nHere is Zq. Tinker{i} with a {rng.choice(words)}.\nTinker{i} met the zebu.\nNow the zebu. The cat slept." if i % 5 == 0 else ""
+        texts.append(body + rare)
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    got = {}
+    for r in sentences.split_documents(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["start_char"], r["end_char"]))
+    model = sentences.fit(texts)
+    assert all(sorted(got[i]) == sentences.split(t, model) for i, t in enumerate(texts))
+
+
 def test_endings_held_out():
     texts = [t for (t,) in rows("select text from '@/submissions.parquet' where text is not null order by submission_id")]
     model = truncation.EndModel(texts[::2])
