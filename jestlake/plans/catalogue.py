@@ -179,7 +179,7 @@ def display_text(spark, d):
 
 
 def title_and_body(spark, d):
-    src = completions(spark, d).select(F.substring("p", 1, 60).alias("title"), F.substring("t", 1, 60).alias("body"), (F.col("id") % 50 - 5).alias("score"))
+    src = completions(spark, d).select(F.col("p").alias("title"), F.col("t").alias("body"), (F.col("id") % 50 - 5).alias("score"))
     return P.title_and_body(src).select("joke", _r(F.col("score")).alias("score"))
 
 

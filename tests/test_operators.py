@@ -1,6 +1,7 @@
 """Parsing, prompts, metrics, arrays, diversity, splits, sources and streaming on small tables."""
 
 import math
+import os
 import random
 from collections import deque
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jestlake.functions import arrays as A
 from jestlake.operators import composite, diversity, metrics, parsing, prompts, splits
-from jestlake.plans import pipelines
+from jestlake.plans import catalogue, pipelines
 from jestlake.sources import readers, sinks
 from jestlake.streaming.diversity import score_calls, stream_diversity
 
@@ -196,3 +197,13 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "id bigint, structure string")
     assert diversity.diversity_reward(diversity.with_position(df, "id")).count() == 0
     assert metrics.structure_entropy(df.withColumn("model", F.lit("m")), ["model"]).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_title_and_body_are_whole(spark):
+    d = "/root/testdata/sf0.001"
+    whole = {r["id"]: f"{r['p']} {r['t']}" for r in catalogue.completions(spark, d).collect()}
+    want = {k: t for k, t in whole.items() if 5 <= len(t.split()) <= 24 and k % 50 - 5 > 0}
+    best = max(k % 50 - 5 for k in want)
+    got = sorted((r["joke"], r["score"]) for r in catalogue.title_and_body(spark, d).collect())
+    assert got == sorted((t, round((k % 50 - 5) / best * 1000, 6)) for k, t in want.items()) and got
