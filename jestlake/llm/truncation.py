@@ -346,6 +346,7 @@ def found(df: DataFrame, key: str = "submission_id", text: str = "text", source:
 
 
 def report(df: DataFrame, key: str = "submission_id", text: str = "text", source: str = "model") -> DataFrame:
-    """(source, texts, truncated, at_limit, share): how often each source truncates."""
-    rows = judged(df, key, text, source)
-    return rows.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated"), F.count_if(F.col("truncated") & F.col("at_limit")).alias("at_limit")).withColumn("share", F.col("truncated") / F.col("texts"))
+    """(source, texts, truncated, at_limit, share): how often each source truncates, of all its answers, null and empty ones included."""
+    every = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count("*").alias("texts"))
+    broken = judged(df, key, text, source).where("truncated").groupBy("source").agg(F.count("*").alias("truncated"), F.count_if("at_limit").alias("at_limit"))
+    return every.join(broken, "source", "left").na.fill(0, ["truncated", "at_limit"]).withColumn("share", F.col("truncated") / F.col("texts"))

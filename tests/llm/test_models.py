@@ -154,6 +154,13 @@ def test_last_words_of_every_text(spark, monkeypatch):
     assert model.unknown != 0 and unknown == {200: False, 201: False, 202: True, 203: True, 204: False, 205: False}
 
 
+def test_report_counts_every_answer(spark):
+    rows = [(1, "The cat met a dog.", "a"), (2, None, "a"), (3, "...", "a"), (4, "Sure!", "b"), (5, None, None)]
+    out = truncation.report(spark.createDataFrame(rows, "submission_id bigint, text string, model string")).collect()
+    assert {r["source"]: (r["texts"], r["truncated"], r["share"]) for r in out if r["source"] != "a"} == {"b": (1, 0, 0.0), "": (1, 0, 0.0)}
+    assert [r["texts"] for r in out if r["source"] == "a"] == [3]
+
+
 def test_hazards_find_limits(spark):
     rng = random.Random(5)
     lengths = [("a", "chars", rng.randrange(50, 400)) for _ in range(3000)] + [("a", "chars", 200)] * 60 + [("b", "chars", rng.randrange(50, 400)) for _ in range(3000)]
