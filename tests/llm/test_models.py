@@ -107,6 +107,40 @@ def test_sentences_cover_everything(splitter):
         assert not text[at:].strip()
 
 
+RUN_ON = [
+    "The dentist married a lamp| It was late| Nobody laughed at the zoo|",
+    "昨天傍晚有块牌子写着一副滑雪板只是个比喻|我奶奶脸都绿了|他们告诉我糕点师傅擦亮了一袋洋葱|",
+    "it turns out that an invisible fence is only a metaphor| they told me the pastry chef insulted an inflatable whale| instead of a mirror the school nurse unplugged a lamp under the bridge| nobody laughed at the zoo| it turns out that a sack of flour is on strike|",
+]
+
+
+@pytest.mark.parametrize("case", RUN_ON)
+def test_sentences_without_marks(splitter, case):
+    text = case.replace("|", "")
+    want = [p.strip() for p in case.split("|") if p.strip()]
+    got = [text[a:b] for a, b in sentences.split(text, splitter)]
+    assert len(set(got) & set(want)) >= len(want) - 1
+
+
+def test_long_tokens_keep_their_context(splitter):
+    long = "x" * 200
+    text = f"The dentist bought the {long}. Nobody laughed at the {long}. It was late."
+    assert [text[a:b] for a, b in sentences.split(text, splitter)] == [f"The dentist bought the {long}.", f"Nobody laughed at the {long}.", "It was late."]
+
+
+def test_sketch_is_exact_when_sparse_and_unbiased_when_full():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(1, 1 << 62, 5000).astype(np.uint64)
+    sketch = sentences.Sketch()
+    sketch.add(np.concatenate([keys, keys[:100]]))
+    got = sentences.Sketch(sketch.cells).get(keys)
+    assert (got >= np.where(np.arange(5000) < 100, 2, 1)).all() and (got[:100] == 2).mean() > 0.99 and (got[100:] == 1).mean() > 0.99
+    full = sentences.Sketch()
+    full.cells += 7  # every cell full of other keys
+    full.add(np.repeat(keys[:50], 40))
+    assert abs(np.median(sentences.Sketch(full.cells).get(keys[:50])) - 40) < 1
+
+
 def test_sentence_table(spark):
     df = spark.createDataFrame([(1, "One here. Two here.", "en", 5), (2, None, None, 5), (3, " ", "en", 5)], "doc_id bigint, text string, lang string, start_char int")
     out = {(r["doc_id"], r["start_char"], r["end_char"]) for r in sentences.split_documents(df).collect()}
@@ -115,7 +149,7 @@ def test_sentence_table(spark):
 
 
 def test_sentences_count_every_document(spark, monkeypatch):
-    monkeypatch.setattr(sentences, "GROUP_CHARS", 20_000)
+    monkeypatch.setattr(sentences, "CHUNK", 20_000)
     rng = random.Random(8)
     words = "cat dog moon lamp bridge green swan angry clerk spoon soup late again".split()
     texts = []
