@@ -319,6 +319,13 @@ class Sketch:
         self.cells = np.zeros((ROWS, 1 << BITS), np.uint32) if cells is None else cells
         self.noise = 0.0 if cells is None else float(np.partition(cells[0], len(cells[0]) // 4)[len(cells[0]) // 4])
 
+    def __getstate__(self) -> tuple:  # most cells of a sparse sketch are 0
+        return zlib.compress(self.cells.tobytes(), 1), self.cells.dtype.str, self.noise
+
+    def __setstate__(self, state: tuple) -> None:
+        data, kind, self.noise = state
+        self.cells = np.frombuffer(zlib.decompress(data), kind).reshape(ROWS, -1)
+
     @staticmethod
     def _slots(keys: np.ndarray, row: int) -> np.ndarray:
         return ((keys * _ROW[row]) >> np.uint64(64 - BITS)).astype(np.int64)
