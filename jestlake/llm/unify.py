@@ -1,12 +1,16 @@
 """Problem 7: texts that look the same but differ in their characters get one consistent form.
 
 Method: script-aware repair. A code-point fold (width, spaces, invisible characters, ligatures, radicals, composition)
-is followed by look-alike repair: the dominant script of each token is determined, letters of other scripts are replaced
-by their look-alikes of that script, and the replacement holds only when the corpus vocabulary knows the result.
-
-Defined results: a null text gives a null form; an empty or blank text gives ''. Ties between scripts in a token go to
-Latin, then to the text's dominant script. Other columns of the input pass through untouched; helper columns carry a
-reserved prefix so that clashing names cannot occur. An empty table gives an empty table.
+is followed by look-alike repair of tokens that mix scripts (Latin, Greek, Cyrillic, Armenian): the dominant script of the
+token is determined, letters of other scripts are replaced by their look-alikes of that script, and the replacement holds
+only when the corpus vocabulary knows the result. Letters that only one script has decide what is dominant, then the number
+of letters, then the text's dominant script; where the vocabulary doesn't know the token in its dominant script, the next
+one is tried. A token made only of letters that look alike in several scripts says nothing by itself: its text's dominant
+script decides whether it is foreign there.
+
+Defined results: a null text gives a null form; an empty or blank text gives ''. Tokens with a letter that has no look-alike
+in the dominant script stay as they are. Helper columns carry a reserved prefix so that clashing names cannot occur. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+SALTED = 4096  # copies of one text that are expanded in one task
+
 # CJK radical forms and the ideographs that look like them (the Kangxi block has NFKC mappings already).
 RADICALS = dict(
     (line[0], line[1])
@@ -60,9 +66,8 @@ def _fold_table() -> dict[int, str | None]:
 
 
 _FOLD = _fold_table()
-_LOOK = {ord(a): b for a, b in LOOKALIKES.items()}
 _TOKEN = re.compile(r"[^\W\d_]+")
-_SUSPECT = re.compile("[" + "".join(LOOKALIKES) + "]")
+_SUSPECT = re.compile("[" + "".join(LOOKALIKES) + "\u0370-\u058f\u1f00-\u1fff]")
 _EMOJI_JOIN = re.compile("(?<=[\U0001f000-\U0001faff☀-➿])[‍️]+")
 _SPACES = re.compile(r"[ \t]+")
 
@@ -80,30 +85,81 @@ def fold_text(text: str) -> str:
     return text.strip()
 
 
-def _script(ch: str) -> str:
+def script_of(ch: str) -> str | None:
+    """Latn, Grek, Cyrl, Armn, or None for letters of other scripts."""
     cp = ord(ch)
-    if cp < 0x250:
+    if cp < 0x2B0 or 0x1E00 <= cp < 0x1F00:
         return "Latn"
-    if ch in LOOKALIKES:
-        return "look"
-    return "Latn" if 0x1E00 <= cp < 0x1F00 else "other"
+    if 0x370 <= cp < 0x400 or 0x1F00 <= cp < 0x2000:
+        return "Grek"
+    if 0x400 <= cp < 0x530:
+        return "Cyrl"
+    return "Armn" if 0x530 <= cp < 0x590 else None
 
 
-def repair_candidate(token: str, text_latin: bool) -> str | None:
-    """The look-alike substitution proposed for a token, or None where the token needs none.
+SCRIPTS = ("Latn", "Grek", "Cyrl", "Armn")
+
+
+def _targets() -> dict[str, dict[str, str]]:
+    """Per script: each letter of the others (and each phonetic letter) with its look-alike there; the first one named counts."""
+    to: dict[str, dict[str, str]] = {s: {} for s in SCRIPTS}
+    by_latin: dict[str, dict[str, str]] = {}
+    for letter, latin in LOOKALIKES.items():
+        to["Latn"][letter] = latin
+        by_latin.setdefault(latin, {}).setdefault(script_of(letter), letter)
+    for latin, same in by_latin.items():
+        same.pop("Latn", None)
+        for script, letter in same.items():
+            to[script].setdefault(latin, letter)
+    for letter, latin in LOOKALIKES.items():
+        for script, own in by_latin[latin].items():
+            if script != script_of(letter):
+                to[script].setdefault(letter, own)
+    return to
+
+
+_TO = _targets()
+_SHARED = {ch for table in _TO.values() for ch in table}  # letters that look alike in several scripts
 
-    The dominant script of the token decides; a token made of look-alikes alone takes the text's dominant script.
-    """
-    kinds = [_script(ch) for ch in token]
-    look, latin = kinds.count("look"), kinds.count("Latn")
-    if not look or "other" in kinds or not (latin or text_latin):
-        return None
-    return token.translate(_LOOK)
 
+def script_counts(text: str) -> dict[str, tuple[int, int]]:
+    """(letters only this script has, letters) by script."""
+    out: dict[str, tuple[int, int]] = {}
+    for ch in text:
+        if ch.isalpha() and (s := script_of(ch)) is not None:
+            own, every = out.get(s, (0, 0))
+            out[s] = (own + (ch not in _SHARED), every + 1)
+    return out
 
-def _latin_text(text: str) -> bool:
-    letters = [ch for ch in text if ch.isalpha()]
-    return sum(_script(ch) == "Latn" for ch in letters) * 2 > len(letters)
+
+def repair_candidates(token: str, text_script: str | None) -> list[str]:
+    """The look-alike substitutions proposed for a token, the one in its dominant script first; none for a token of one script.
+
+    text_script: the dominant script of its text.
+    """
+    if not _SUSPECT.search(token) and text_script in (None, "Latn"):
+        return []
+    counts = script_counts(token)
+    if len(counts) == 1 and not any(ch in LOOKALIKES and script_of(ch) == "Latn" for ch in token):
+        (only, (own, _)), = counts.items()
+        if own or text_script in (None, only):
+            return []
+        order = [text_script]
+    else:
+        order = sorted(counts, key=lambda s: (-counts[s][0], -counts[s][1], s != text_script, SCRIPTS.index(s)))
+    out = []
+    for script in order:
+        table = _TO[script]
+        fixed = "".join(table.get(ch, ch) for ch in token)
+        if fixed != token and all(script_of(ch) == script for ch in fixed if ch.isalpha()):
+            out.append(fixed)
+    return out
+
+
+def text_script(text: str) -> str | None:
+    """The script of most of a text's letters, those that only one script has first."""
+    counts = script_counts(text)
+    return max(counts, key=lambda s: (counts[s], -SCRIPTS.index(s))) if counts else None
 
 
 def _folded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +173,10 @@ def _folded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             form = fold_text(text)
             found: list[str] = []
             if not form.isascii() and _SUSPECT.search(form):
-                latin = _latin_text(form)
+                main = text_script(form)
                 for token in set(_TOKEN.findall(form)):
-                    if (fixed := repair_candidate(token, latin)) is not None:
-                        found += [token, fixed]
+                    for rank, fixed in enumerate(repair_candidates(token, main)):
+                        found += [token, str(rank), fixed]
             forms.append(form)
             words.append(found)
         columns = batch.columns[:-1] + [pa.array(forms, pa.string()), pa.array(words, pa.list_(pa.string()))]
@@ -134,60 +190,63 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixes = batch.column(at("_u_fixes")).to_pylist()
         for i, pairs in enumerate(fixes):
             if pairs and forms[i] is not None:
-                known = {p["_u_from"]: p["_u_to"] for p in pairs}
+                known = {p["_u_from"]: p["_u_to"] for p in sorted(pairs, key=lambda p: p["_u_rank"], reverse=True)}
                 forms[i] = _TOKEN.sub(lambda m: known.get(m[0], m[0]), forms[i])
         keep = [n for n in batch.schema.names if n not in ("_u_form", "_u_fixes")]
         yield pa.RecordBatch.from_arrays([*(batch.column(at(n)) for n in keep), pa.array(forms, pa.string())], names=[*keep, "form"])
 
 
-def unify(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, form): the consistent form of each record's text.
-
-    Only texts that hold a look-alike letter take part in the vocabulary check; the vocabulary itself is counted over all
-    records (one count per record and word, combined before the shuffle) and joined by word, never broadcast.
-    """
-    source = df.select(F.col(key).alias("_u_key"), F.col(text).alias("_u_text"))
+def _unified(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_u_key, _u_raw, form): each record's form and a hash of its code points."""
+    raw = F.unhex(F.md5(F.col(text).cast("binary")))
+    source = df.select(F.col(key).alias("_u_key"), raw.alias("_u_raw"), F.col(text).alias("_u_text"))
     key_type = source.schema["_u_key"].dataType.simpleString()
     # read by several branches below: folded once, not once a branch
-    folded = cut(source.mapInArrow(_folded_batches, f"_u_key {key_type}, _u_form string, _u_words array<string>"))
-    pairs = F.expr("transform(sequence(0, cast(size(_u_words) / 2 as int) - 1), i -> struct(_u_words[2 * i] as _u_from, _u_words[2 * i + 1] as _u_to))")
+    folded = cut(source.mapInArrow(_folded_batches, f"_u_key {key_type}, _u_raw binary, _u_form string, _u_words array<string>"))
+    pairs = F.expr("transform(sequence(0, cast(size(_u_words) / 3 as int) - 1), i -> struct(_u_words[3 * i] as _u_from, cast(_u_words[3 * i + 1] as int) as _u_rank, _u_words[3 * i + 2] as _u_to))")
     suspects = folded.where(F.size("_u_words") > 0).select("_u_key", F.explode(pairs).alias("p")).select("_u_key", "p.*")
     wanted = suspects.select(F.lower("_u_to").alias("_u_word")).distinct()
     plain = folded.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_u_form"), F.lit(r"([\p{L}\p{M}]+)"), 1))).alias("_u_word"))
-    seen = plain.groupBy("_u_word").agg(F.count("*").alias("_u_n")).join(wanted, "_u_word", "left_semi").select("_u_word")
-    attested = suspects.groupBy(F.lower("_u_to").alias("_u_word")).agg(F.countDistinct("_u_from").alias("_u_n")).where("_u_n > 1").select("_u_word")
-    known = seen.union(attested).distinct()
+    known = plain.groupBy("_u_word").agg(F.count("*").alias("_u_n")).join(wanted, "_u_word", "left_semi").select("_u_word")
     fixes = (
         suspects.join(known, F.lower(suspects["_u_to"]) == known["_u_word"], "left_semi")
         .groupBy("_u_key")
-        .agg(F.collect_list(F.struct("_u_from", "_u_to")).alias("_u_fixes"))
+        .agg(F.collect_list(F.struct("_u_from", "_u_rank", "_u_to")).alias("_u_fixes"))  # bounded by the text's own tokens
     )
-    whole = folded.where(F.size("_u_words") == 0).select("_u_key", F.col("_u_form").alias("form"))
+    whole = folded.where(F.size("_u_words") == 0).select("_u_key", "_u_raw", F.col("_u_form").alias("form"))
     mended = (
         folded.where(F.size("_u_words") > 0)
-        .select("_u_key", "_u_form")
+        .select("_u_key", "_u_raw", "_u_form")
         .join(fixes, "_u_key", "left")
-        .mapInArrow(_applied, f"_u_key {key_type}, form string")
+        .mapInArrow(_applied, f"_u_key {key_type}, _u_raw binary, form string")
     )
-    return whole.unionByName(mended).withColumnRenamed("_u_key", key)
+    return whole.unionByName(mended)
+
+
+def unify(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, form): the consistent form of each record's text.
+
+    Only texts that hold a look-alike letter take part in the vocabulary check; the vocabulary itself is counted over all
+    records (one count per record and word, combined before the shuffle) and joined by word, never broadcast.
+    """
+    return _unified(df, key, text).select(F.col("_u_key").alias(key), "form")
 
 
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(rec_id_a, rec_id_b): pairs of records whose forms agree while their code points differ; '-' and blank are none.
 
-    Equal texts collapse to one class before pairing, so a text repeated over a third of the table costs one row; only
-    classes of different code points meet, and the result is expanded from the class members.
+    Equal texts collapse to one class before pairing; only classes of different code points meet. Their pairs are expanded
+    last, over salts in proportion to the size of each class, so that the copies of one text spread over many tasks and
+    are never held against each other.
     """
-    forms = unify(df, key, text).select(F.col(key).alias("_k"), "form")
-    rows = (
-        df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-        .join(forms, "_k")
-        .where("form is not null and form not in ('', '-')")
-        .select("_k", F.xxhash64("form").alias("_f"), F.xxhash64("_t").alias("_r"), F.length("_t").alias("_n"))
-    )
-    classes = rows.groupBy("_f", "_r", "_n").agg(F.min("_k").alias("_m"))
-    several = classes.groupBy("_f").agg(F.count("*").alias("_c")).where("_c > 1").select("_f")
-    kept = rows.join(several, "_f", "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    met = a.join(b, (F.col("a._f") == F.col("b._f")) & ((F.col("a._r") != F.col("b._r")) | (F.col("a._n") != F.col("b._n"))) & (F.col("a._k") < F.col("b._k")))
-    return met.select(F.col("a._k").alias("rec_id_a"), F.col("b._k").alias("rec_id_b"))
+    rows = cut(_unified(df, key, text).where("form not in ('', '-')").select(F.col("_u_key").alias("k"), F.unhex(F.md5(F.col("form").cast("binary"))).alias("f"), F.col("_u_raw").alias("r")))
+    classes = rows.groupBy("f", "r").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / SALTED).cast("int"))
+    a, b = classes.alias("a"), classes.alias("b")
+    met = cut(a.join(b, (F.col("a.f") == F.col("b.f")) & (F.col("a.r") < F.col("b.r"))).select(F.col("a.r").alias("ra"), F.col("b.r").alias("rb"), F.col("a.salts").alias("na"), F.col("b.salts").alias("nb")))
+    # salts of a class depend on its size: a member takes one of them by its key
+    held = met.select(F.col("ra").alias("r"), F.col("na").alias("salts")).union(met.select("rb", "nb")).distinct()
+    members = cut(rows.select("k", "r").join(held, "r").select("r", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("s"), "k"))
+    spread = met.withColumn("sa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    left = spread.join(members.select(F.col("r").alias("ra"), F.col("s").alias("sa"), F.col("k").alias("ka")), ["ra", "sa"])
+    both = left.join(members.select(F.col("r").alias("rb"), F.col("s").alias("sb"), F.col("k").alias("kb")), ["rb", "sb"])
+    return both.select(F.least("ka", "kb").alias("rec_id_a"), F.greatest("ka", "kb").alias("rec_id_b"))

@@ -56,6 +56,30 @@ def test_unify_keeps_unknown_words(spark):
     assert {r["k"]: r["form"] for r in unify.unify(df, "k", "t").collect()}[1] == "zоrgle is here"
 
 
+def test_dominant_script_both_ways(spark):
+    texts = [(1, "привeт мир"), (2, "привет мир"), (3, "кoтёл кипит"), (4, "котёл кипит"), (5, "Αθήνα καλή"), (6, "Aθήνα καλή"), (7, "zоrgle"), (8, "zorglе"), (9, "a cat"), (10, "а cat"), (11, "а кот"), (12, "a кот")]
+    df = spark.createDataFrame(texts, "k bigint, t string")
+    assert {tuple(r) for r in unify.same_look_pairs(df, "k", "t").collect()} == {(1, 2), (3, 4), (5, 6), (9, 10), (11, 12)}
+
+
+@pytest.mark.parametrize(
+    "token,script,want",
+    [("cаt", "Latn", ["cat"]), ("кoт", "Cyrl", ["кот"]), ("cat", "Latn", []), ("кот", "Latn", []), ("сосоа", "Latn", ["cocoa"]), ("сосоа", "Cyrl", []), ("жat", "Cyrl", []), ("ɡame", "Latn", ["game"])],
+)
+def test_repair_candidates(token, script, want):
+    assert unify.repair_candidates(token, script) == want
+
+
+@pytest.mark.parametrize("salted", [1, 7, 4096])
+def test_copies_of_one_text(spark, monkeypatch, salted):
+    monkeypatch.setattr(unify, "SALTED", salted)
+    texts = ["The cat sat."] * 40 + ["Thе cat sat."] * 3 + ["The\xa0cat sat."] + ["cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    got = [tuple(r) for r in unify.same_look_pairs(df, "k", "t").collect()]
+    want = {(i, j) for j in range(40, 44) for i in range(j) if texts[i] != texts[j]}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_emoji_joiners_stay():
     family = "\U0001f469‍\U0001f467 hi"
     assert unify.fold_text(family) == family and unify.fold_text("a‍b") == "ab"
