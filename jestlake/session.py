@@ -36,14 +36,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir of the session; a local one only where none is set."""
+    """Folder all executors share: spark.checkpoint.dir of the session, or its checkpoint folder. ValueError where there is none.
+
+    A local session without one gets a temporary folder, as driver and executors are one process there; a cluster never does.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     existing = spark.sparkContext._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get().rstrip("/")
-    return os.path.join(tempfile.gettempdir(), "jestlake-shared")
+    master = spark.sparkContext.master
+    if master == "local" or (master.startswith("local[") and "cluster" not in master):
+        own = getattr(spark.sparkContext, "_jestlake_shared", None) or tempfile.mkdtemp(prefix="jestlake-shared-")
+        spark.sparkContext._jestlake_shared = own
+        return own
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,7 +62,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that nothing reads any more: all that was made of them has been cut since."""
+    for df in cuts:
+        spark, path = df.sparkSession, getattr(df, "_cut_path", None)
+        if path:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            df._cut_path = None
 
 
 def ship(spark: SparkSession) -> None:
