@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
+from .blocks import pairs_within
 from .unify import unify
 
 WIDTH = 2  # tokens in a shingle
@@ -29,8 +30,8 @@ BANDS, ROWS = 64, 4  # finds a pair of similarity 0.5 with probability 0.984, on
 SKETCH_BITS = 128  # one bit of each of as many further minima
 SKETCH_AGREE = 82  # of 128; a pair of similarity 0.5 agrees in 96 +- 4.9
 SIMILARITY = 0.5  # exact Jaccard similarity of the shingle sets
-BUCKET = 64  # larger buckets are paired in blocks
-BLOCK = 1024  # classes in a block of a larger bucket
+BLOCK = 1024  # classes in a block of a bucket; larger buckets are several blocks
+MAX_ROUNDS = 200  # of components; more than any graph of fewer than 2 ** 64 nodes takes
 SLICE = 500  # texts signed at once
 _PRIME = (1 << 31) - 1
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
@@ -135,38 +136,25 @@ def _agree(a: str, b: str) -> Column:
 def candidate_links(signed: DataFrame, extra: list[str] = (), wanted: Column | None = None) -> DataFrame:
     """(a, b) with a < b: classes that share a bucket and whose sketches agree.
 
-    Every two classes of a bucket are held against each other, whatever its size: those of more than BUCKET classes are
-    spread over blocks of about BLOCK classes by a hash, and every two blocks meet in one task of bounded size.
+    Only bucket and class are shuffled to find the buckets that several classes share; sketches join what is left. Every two
+    classes of a bucket are held against each other, whatever its size, in blocks of about BLOCK classes.
     wanted: a condition on columns a.* and b.* that pairs must meet.
     """
-    rows = signed.select("_id", "s0", "s1", *extra, F.explode("bands").alias("bucket"))
-    # buckets of one class are nearly all and go at once; the sizes of the others tell whether any is large
-    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    rows = rows.join(sizes, "bucket")
-
-    def met(both: DataFrame) -> DataFrame:
-        agreeing = both.where(_agree("a", "b"))
-        if wanted is not None:
-            agreeing = agreeing.where(wanted)
-        return agreeing.select(F.least("a._id", "b._id").alias("a"), F.greatest("a._id", "b._id").alias("b"))
-
-    def pairs(part: DataFrame) -> DataFrame:
-        return met(part.alias("a").join(part.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a._id") < F.col("b._id"))))
-
-    if sizes.where(F.col("n") > BUCKET).isEmpty():
-        return pairs(rows).distinct()
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    spread = rows.where(F.col("n") > BUCKET).withColumn("_of", blocks).withColumn("_own", F.pmod(F.xxhash64("_id", "bucket"), F.col("_of")).cast("int")).drop("n")
-    # block i meets block j >= i: a row of block k is a first one of (k, k..) and a second one of (..k, k)
-    a = spread.withColumn("_i", F.col("_own")).withColumn("_j", F.explode(F.sequence("_own", F.col("_of") - 1))).alias("a")
-    b = spread.withColumn("_j", F.col("_own")).withColumn("_i", F.explode(F.sequence(F.lit(0), "_own"))).alias("b")
-    same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
-    large = met(a.join(b, same & ((F.col("a._i") < F.col("a._j")) | (F.col("a._id") < F.col("b._id")))))
-    return pairs(rows.where(F.col("n") <= BUCKET)).union(large).distinct()
+    rows = signed.select("_id", F.explode("bands").alias("bucket"))
+    # counts are combined before the shuffle; nearly all buckets hold one class and end here
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(rows.join(sizes, "bucket"))
+    held = shared.join(signed.select("_id", "s0", "s1", *extra), "_id")
+    agreeing = _agree("a", "b") if wanted is None else _agree("a", "b") & wanted
+    met = pairs_within(held, "bucket", "_id", "n", BLOCK, agreeing)
+    return met.select(F.least("a._id", "b._id").alias("a"), F.greatest("a._id", "b._id").alias("b")).distinct()
 
 
 def verified(links: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, jaccard): the links whose exact Jaccard similarity of shingles reaches the threshold."""
+    """(a, b, jaccard): the links whose Jaccard similarity of all shingles reaches the threshold.
+
+    Shingles are compared by 31-bit hashes: two texts of 100 shingles each share a false one once in 200000 pairs.
+    """
     sets = signed.select("_id", "shingles")
     both = links.join(sets.select(F.col("_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -174,44 +162,43 @@ def verified(links: DataFrame, signed: DataFrame, similarity: float = SIMILARITY
     return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, comp): the least node of each connected component, by alternating large-star and small-star.
 
-    Every round is a join-free pair of aggregations over the edges, written to the shared folder; it ends when a round
-    changes nothing (edge count and checksum are all the driver sees).
+    Every round is a pair of aggregations over the edges, written to the shared folder; it ends when a round changes nothing
+    (edge count and checksum are all the driver sees). RuntimeError if max_rounds don't suffice.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = cut(small)
+        small = cut(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        release(edges, large)
+        edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    raise RuntimeError(f"components: not done after {max_rounds} rounds")
 
 
 def same_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, cls, group_id): each record that has a class, with its group; group_id is a class id, alone if nothing is near."""
     classes = cut(text_classes(df, key, text))
     signed = cut(signatures(classes))
-    edges = verified(candidate_links(signed), signed)
+    edges = cut(verified(candidate_links(signed), signed))
+    release(signed)
     comp = components(edges)
     members = classes.select("_k", "cls").join(comp, F.col("cls") == F.col("node"), "left")
     return members.select(F.col("_k").alias(key), "cls", F.coalesce("comp", "cls").alias("group_id"))
 
 
 def same_pairs(df: DataFrame, key: str, text: str, a_name: str, b_name: str) -> DataFrame:
-    """All pairs of records of one group, a < b."""
+    """All pairs of records of one group, a < b: groups of any size are paired in blocks."""
     groups = cut(same_groups(df, key, text).select(F.col(key).alias("k"), "group_id"))
-    several = groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    kept = groups.join(several, "group_id", "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    met = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.k") < F.col("b.k")))
-    return met.select(F.col("a.k").alias(a_name), F.col("b.k").alias(b_name))
+    several = groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
+    met = pairs_within(groups.join(several, "group_id"), "group_id", "k", "n", BLOCK)
+    return met.select(F.least("a.k", "b.k").alias(a_name), F.greatest("a.k", "b.k").alias(b_name))

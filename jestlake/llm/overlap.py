@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
+from .blocks import expand_links
 from .neardup import candidate_links, signatures, text_classes, verified
 
 TRAIN = "train"
@@ -30,12 +31,12 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str) -> DataFra
     sides = members.groupBy("cls").agg(F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval")).withColumnRenamed("cls", "_id")
     signed = cut(signatures(members).join(sides, "_id"))
     across = (F.col("a.in_train") & F.col("b.in_eval")) | (F.col("a.in_eval") & F.col("b.in_train"))
-    near = verified(candidate_links(signed, ["in_train", "in_eval"], across), signed).select("a", "b")
+    near = cut(verified(candidate_links(signed, ["in_train", "in_eval"], across), signed).select("a", "b"))
     same = sides.where("in_train and in_eval").select(F.col("_id").alias("a"), F.col("_id").alias("b"))
     links = cut(near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(same))
-    train = members.where("train").select(F.col("cls").alias("a"), F.col("_k").alias("train_k"))
-    other = members.where("not train").select(F.col("cls").alias("b"), F.col("_k").alias("eval_k"))
-    return links.join(train, "a").join(other, "b").select("train_k", "eval_k")
+    release(signed)
+    train, other = (members.where(F.col("train") == side).select("cls", F.col("_k").alias("k")) for side in (True, False))
+    return expand_links(links, train, other).select(F.col("ka").alias("train_k"), F.col("kb").alias("eval_k"))
 
 
 def found(df: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .blocks import expand_links, pairs_within
 
 SALTED = 4096  # copies of one text that are expanded in one task
 
@@ -240,13 +241,9 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     are never held against each other.
     """
     rows = cut(_unified(df, key, text).where("form not in ('', '-')").select(F.col("_u_key").alias("k"), F.unhex(F.md5(F.col("form").cast("binary"))).alias("f"), F.col("_u_raw").alias("r")))
-    classes = rows.groupBy("f", "r").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / SALTED).cast("int"))
-    a, b = classes.alias("a"), classes.alias("b")
-    met = cut(a.join(b, (F.col("a.f") == F.col("b.f")) & (F.col("a.r") < F.col("b.r"))).select(F.col("a.r").alias("ra"), F.col("b.r").alias("rb"), F.col("a.salts").alias("na"), F.col("b.salts").alias("nb")))
-    # salts of a class depend on its size: a member takes one of them by its key
-    held = met.select(F.col("ra").alias("r"), F.col("na").alias("salts")).union(met.select("rb", "nb")).distinct()
-    members = cut(rows.select("k", "r").join(held, "r").select("r", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("s"), "k"))
-    spread = met.withColumn("sa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    left = spread.join(members.select(F.col("r").alias("ra"), F.col("s").alias("sa"), F.col("k").alias("ka")), ["ra", "sa"])
-    both = left.join(members.select(F.col("r").alias("rb"), F.col("s").alias("sb"), F.col("k").alias("kb")), ["rb", "sb"])
-    return both.select(F.least("ka", "kb").alias("rec_id_a"), F.greatest("ka", "kb").alias("rec_id_b"))
+    classes = rows.groupBy("f", "r").agg(F.count("*").alias("_n"))
+    variants = classes.join(classes.groupBy("f").agg(F.count("*").alias("n")).where("n > 1"), "f")
+    met = cut(pairs_within(variants, "f", "r", "n").select(F.col("a.r").alias("a"), F.col("b.r").alias("b")))
+    members = rows.select(F.col("r").alias("cls"), "k")
+    pairs = expand_links(met, members, members, SALTED)
+    return pairs.select(F.least("ka", "kb").alias("rec_id_a"), F.greatest("ka", "kb").alias("rec_id_b"))

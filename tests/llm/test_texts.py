@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from jestlake.llm import bpe, mixing, neardup, overlap, unify
+from jestlake.llm import blocks, bpe, mixing, neardup, overlap, unify
 from jestlake.session import ship
 
 WORDS = "the a cat dog moon ladder sings paints under over bridge with lamp green swan angry tax clerk spoon soup walked home late again and then but so".split()
@@ -123,9 +123,9 @@ def brute(rows):
     return near, {(a, b) for a in sets for b in sets if a < b and root(a) == root(b)}
 
 
-@pytest.mark.parametrize("bucket", [64, 1])
-def test_near_duplicates(spark, monkeypatch, bucket):
-    monkeypatch.setattr(neardup, "BUCKET", bucket)  # 1: every shared bucket goes by its leader
+@pytest.mark.parametrize("block", [1024, 2])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)  # of buckets and of groups
     rows = corpus()
     df = spark.createDataFrame(rows, "joke_id bigint, joke string, norm string")
     got = {tuple(r) for r in neardup.same_pairs(df, "joke_id", "joke", "a", "b").collect()}
@@ -145,12 +145,42 @@ def test_jokes_of_one_frame(spark, monkeypatch, block):
     rows = [(i, t, None) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "joke_id bigint, joke string, norm string")
     signed = neardup.signatures(neardup.text_classes(df, "joke_id", "joke")).cache()
-    assert signed.selectExpr("explode(bands) as b").groupBy("b").count().where(F.col("count") > neardup.BUCKET).count() > 0
+    assert signed.selectExpr("explode(bands) as b").groupBy("b").count().where(F.col("count") > 64).count() > 0
     got = {tuple(r) for r in neardup.candidate_links(signed).collect()}
     # every agreeing pair that shares a bucket, by brute force
     held = {r["_id"]: (set(r["bands"]), (r["s0"] & (1 << 64) - 1) << 64 | r["s1"] & (1 << 64) - 1) for r in signed.collect()}
     want = {(a, b) for a in held for b in held if a < b and (held[a][1] ^ held[b][1]).bit_count() <= neardup.SKETCH_BITS - neardup.SKETCH_AGREE and held[a][0] & held[b][0]}
     assert got == want
+    # of the pairs that really are near, sharing buckets with hundreds of others, hardly any is lost
+    sets = {k: set(s) for k, s in ((r["_id"], r["shingles"]) for r in signed.collect())}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    found = {(r["a"], r["b"]) for r in neardup.verified(neardup.candidate_links(signed), signed).collect()}
+    assert found <= near and len(near) >= 300 and len(found) >= 0.98 * len(near)
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_pairs_within_groups_of_any_size(spark, block):
+    sizes = {0: 1, 1: 2, 2: 3, 3: 4, 4: 31}
+    rows = [(g, 100 * g + i, n) for g, n in sizes.items() for i in range(n)]
+    met = blocks.pairs_within(spark.createDataFrame(rows, "g int, k int, n int"), "g", "k", "n", block).select("a.k", "b.k").collect()
+    got = [tuple(sorted(r)) for r in met]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for g, a, _ in rows for h, b, _ in rows if g == h and a < b}
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_expanded_links(spark, block):
+    left = [("x", 1), ("x", 2), ("x", 3), ("y", 4), ("u", 9)]
+    right = [("z", 5), ("z", 6), ("x", 7), ("w", 8)]
+    links = [("x", "z"), ("y", "z"), ("x", "x"), ("y", "none")]
+    frames = [spark.createDataFrame(r, s) for r, s in ((links, "a string, b string"), (left, "cls string, k int"), (right, "cls string, k int"))]
+    got = [tuple(r) for r in blocks.expand_links(*frames, block).collect()]
+    assert sorted(got) == sorted((k, m) for a, b in links for c, k in left for d, m in right if a == c and b == d)
+
+
+def test_components_say_when_they_are_not_done(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        neardup.components(path, max_rounds=1)
 
 
 def test_overlap(spark):
