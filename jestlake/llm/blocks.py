@@ -2,10 +2,66 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024  # rows of a block; two blocks meet in one task
+BITS = 26  # of a key filter: 8 MB whatever the number of keys
+PARTS = 16  # a key filter is put together in
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts.values()], pa.binary())], names=["part", "data"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = np.zeros(1 << BITS, bool)
+    for batch in batches:
+        held[_places(batch.column(0).to_numpy())] = True
+    yield _packed({k: p for k, p in enumerate(np.packbits(held).reshape(PARTS, -1)) if p.any()})
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(*(c.to_pylist() for c in batch.columns)):
+            part = np.frombuffer(zlib.decompress(data), np.uint8)
+            parts[k] = parts[k] | part if k in parts else part
+    yield _packed(parts)
+
+
+def key_filter(keys: DataFrame) -> Broadcast:
+    """A bit set of the bigint keys of the one column: it lets every one of them pass and few others, as long as it is sparse.
+
+    Its size is fixed; tasks' sets are united in Spark, and PARTS packed rows reach the driver.
+    """
+    bits = np.zeros((PARTS, (1 << BITS) // 8 // PARTS), np.uint8)
+    for r in keys.mapInArrow(_marked, "part int, data binary").repartition("part").mapInArrow(_united, "part int, data binary").collect():
+        bits[r["part"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+
+
+def passing(rows: DataFrame, column: str, held: Broadcast) -> DataFrame:
+    """The rows whose key may be one of the filter's, before any shuffle."""
+    at = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(held.value), np.uint8)).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[_places(batch.column(at).to_numpy())]))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def pairs_within(rows: DataFrame, group: str, key: str, size: str, block: int = BLOCK, wanted: Column | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, release
-from .blocks import pairs_within
+from .blocks import key_filter, pairs_within, passing
 from .unify import unify
 
 WIDTH = 2  # tokens in a shingle
@@ -133,20 +133,23 @@ def _agree(a: str, b: str) -> Column:
     return apart <= SKETCH_BITS - SKETCH_AGREE
 
 
-def candidate_links(signed: DataFrame, extra: list[str] = (), wanted: Column | None = None) -> DataFrame:
+def candidate_links(signed: DataFrame, notes: DataFrame | None = None, wanted: Column | None = None) -> DataFrame:
     """(a, b) with a < b: classes that share a bucket and whose sketches agree.
 
     Only bucket and class are shuffled to find the buckets that several classes share; sketches join what is left. Every two
     classes of a bucket are held against each other, whatever its size, in blocks of about BLOCK classes.
-    wanted: a condition on columns a.* and b.* that pairs must meet.
+    wanted: a condition on columns a.* and b.* that pairs must meet; notes: (_id, ...), further columns for it.
     """
     rows = signed.select("_id", F.explode("bands").alias("bucket"))
     # counts are combined before the shuffle; nearly all buckets hold one class and end here
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(rows.join(sizes, "bucket"))
-    held = shared.join(signed.select("_id", "s0", "s1", *extra), "_id")
+    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    held = key_filter(sizes.select("bucket"))
+    shared = cut(passing(rows, "bucket", held).join(sizes, "bucket"))
+    release(sizes)
+    known = signed.select("_id", "s0", "s1")
+    known = known if notes is None else known.join(notes, "_id")
     agreeing = _agree("a", "b") if wanted is None else _agree("a", "b") & wanted
-    met = pairs_within(held, "bucket", "_id", "n", BLOCK, agreeing)
+    met = pairs_within(shared.join(known, "_id"), "bucket", "_id", "n", BLOCK, agreeing)
     return met.select(F.least("a._id", "b._id").alias("a"), F.greatest("a._id", "b._id").alias("b")).distinct()
 
 

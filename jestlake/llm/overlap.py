@@ -29,9 +29,9 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str) -> DataFra
     """(train_k, eval_k): every confirmed pair with its training record and its evaluation record."""
     members = cut(_members(df, key, text, split))
     sides = members.groupBy("cls").agg(F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval")).withColumnRenamed("cls", "_id")
-    signed = cut(signatures(members).join(sides, "_id"))
+    signed = cut(signatures(members))
     across = (F.col("a.in_train") & F.col("b.in_eval")) | (F.col("a.in_eval") & F.col("b.in_train"))
-    near = cut(verified(candidate_links(signed, ["in_train", "in_eval"], across), signed).select("a", "b"))
+    near = cut(verified(candidate_links(signed, sides, across), signed).select("a", "b"))
     same = sides.where("in_train and in_eval").select(F.col("_id").alias("a"), F.col("_id").alias("b"))
     links = cut(near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(same))
     release(signed)

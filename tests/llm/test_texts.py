@@ -167,6 +167,15 @@ def test_pairs_within_groups_of_any_size(spark, block):
     assert len(got) == len(set(got)) and set(got) == {(a, b) for g, a, _ in rows for h, b, _ in rows if g == h and a < b}
 
 
+def test_key_filter_keeps_every_key(spark):
+    keys = spark.range(0, 5000, 1, 3).selectExpr("xxhash64(id) as k")
+    others = spark.range(5000, 45000).selectExpr("id", "xxhash64(id) as k")
+    held = blocks.key_filter(keys)
+    assert blocks.passing(keys, "k", held).count() == 5000
+    assert blocks.passing(others, "k", held).count() < 400
+    assert blocks.passing(others, "k", blocks.key_filter(keys.where("false"))).count() == 0
+
+
 @pytest.mark.parametrize("block", [2, 1000])
 def test_expanded_links(spark, block):
     left = [("x", 1), ("x", 2), ("x", 3), ("y", 4), ("u", 9)]
