@@ -2,24 +2,26 @@
 
 Method: discrete length hazards by window functions. For every source and measure of length (code points, bytes, code points
 without what trails the break) the hazard of a length is the share of the texts reaching it that end there; each is tested
-against the pooled hazard of its neighbours (an exact-form Poisson tail) with the false-discovery rate controlled over all
-tests (Benjamini-Hochberg). Endings are then read: a text is truncated when its last sentence is incomplete. How sure that
-must be depends on whether it ends at a significant length and on what trails it; a transfer may break at any length, so
-texts at other lengths are read too, against the rate of breaks of their own group.
+against the pooled hazard of the lengths around it (ends over texts at risk, its own length left out) by the exact binomial
+tail, with the false-discovery rate controlled over all tests (Benjamini-Hochberg). Texts that end at a significant length
+with an incomplete last sentence are truncated: rule `limit`. A transfer may break at any length, so a second rule, named
+`transfer` in every row it gives, flags incomplete endings elsewhere; how sure they must be depends on the share of breaks
+in their own group (source and what trails the text), estimated by expectation-maximisation.
 
 Completeness is judged by a regularised logistic model over hashed features (the last words, the first words, what lies
 between, open quotations), fitted without labels on a bounded sample of texts (SAMPLE, least key hash): sentences followed
 by another one are complete, the same sentences cut at random places are not. Whether a last word is a known one is looked up
 in the words of the complete sentences of all texts, those that only end the same text aside.
 
-Defined results: null, blank and mark-only texts are no truncated texts; a text of one word is read like any other; dots,
-marks and damage after the break are ignored; ties at a significant length are all read; repeated rows get equal results;
-extra columns are ignored; an empty table gives no rows.
+Defined results: null, blank and mark-only texts are no truncated texts, nor are those that only announce a joke; a text of
+one word is read like any other; dots, marks and damage after the break are ignored; ties at a significant length are all
+read; repeated rows get equal results; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,14 +38,15 @@ from .sentences import _EMOJI, CJK, _shape, _spans, _TOKEN
 SAMPLE = 6000
 NEIGHBOURS = 10  # lengths on either side
 FDR = 0.01
-LEAST_EXCESS = 5  # texts at a significant length
+EXCESS = 2.0  # a limit's hazard and count are at least this many times the pooled hazard around it and the mean count before it
 BITS = 20
 EPOCHS = 4
+ROUNDS = 20  # of a group's share; it moves by less than a thousandth long before
 CUTS = 2  # artificial cuts per complete sentence
-_TRAIL = re.compile(rf"[\s.…。．｡!?！？�​-‏⁠﻿~;)\]}}\[({{|\\_*-]+$")
+_TRAIL = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000.…。．｡!?！？�\u200b\u200c\u200d\u200e\u200f\u2060\ufeff~;)]}[({|\\_*-"
 _DAMAGE = re.compile(r"[�\x00-\x08\x0b\x0c\x0e-\x1f]")
 _LAUGH = r"(?<!\w)a?(?:(?:ha){2,}h?|(?:ja){2,}j?|(?:he){2,}|(?:je){2,}j?|(?:rs){2,}|k{3,}|w{3,})(?!\w)|[哈呵嘿笑]{2,}"
-_REMARK = re.compile(rf"(?:\s*(?:[{_EMOJI}]+|#\w+|(?:[;:]-?[)D(])|~+|{_LAUGH})[!！.。~]*)+\s*$", re.IGNORECASE)
+_REMARK = re.compile(rf"(?:(?:[{_EMOJI}]+|#\w+|(?:[;:]-?[)D(])|~+|{_LAUGH})[!！.。~]*)+$", re.IGNORECASE)
 # Words that only announce or accept, in the languages of the tables.
 ANNOUNCE = set(
     """sure okay ok yes certainly absolutely of course here here's heres s is are a an one the your this you go it joke jokes funny short and now my for comes coming with pleasure
@@ -55,19 +58,31 @@ _UNIT_END = re.compile(rf"[.!?…。！？｡．]+[\"'”’»）)\]」』]*(?:\
 
 
 def bare(text: str) -> str:
-    """The text without remarks in signs (emoji, tags) and without what may trail a break."""
-    text = _DAMAGE.sub("�", text)
+    """The text without remarks in signs (emoji, tags, laughter) and without what may trail a break."""
+    if _DAMAGE.search(text):
+        text = _DAMAGE.sub("�", text)
     while True:
-        less = _REMARK.sub("", _TRAIL.sub("", text))
+        less = _remarkless(text.rstrip(_TRAIL))
         if less == text:
             return text
         text = less
 
 
+def _remarkless(text: str) -> str:
+    """The text without the remarks at its end; a remark holds no white space, so only last words are looked at."""
+    while True:
+        text = text.rstrip()
+        at = 1 + max(text.rfind(ch) for ch in " \n\t\xa0\u3000")
+        found = _REMARK.search(text, at)
+        if found is None:
+            return text
+        text = text[: found.start()]
+
+
 def announces(text: str) -> bool:
-    """Whether a text says nothing but that a joke follows (or nothing at all)."""
+    """Whether a text says nothing but that a joke follows (or nothing at all), at whatever length."""
     words = re.findall(rf"[{CJK}]|[^\W\d_{CJK}]+|\d+", _DAMAGE.sub(" ", text.lower()))
-    return len(words) <= 14 and all(w in ANNOUNCE for w in words)
+    return all(w in ANNOUNCE for w in words)
 
 
 def units(text: str) -> list[str]:
@@ -220,77 +235,120 @@ def _logistic(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return weights
 
 
+def binomial_tail(n: int, trials: int, p: float) -> float:
+    """P(N >= n) of a binomial: the exact sum of its terms, from n up where that is the smaller side, else as a complement."""
+    if n <= 0 or p >= 1:
+        return 1.0
+    if n > trials or p <= 0:
+        return 0.0
+    odds = math.log(p) - math.log1p(-p)
+    term = math.lgamma(trials + 1) - math.lgamma(n + 1) - math.lgamma(trials - n + 1) + n * odds + trials * math.log1p(-p)
+    upper = n >= trials * p
+    total, k, ratio = 0.0, n if upper else n - 1, 1.0
+    if not upper:
+        term += math.log(n / (trials - n + 1)) - odds  # of n - 1
+    while 0 <= k <= trials and ratio > 1e-17 * total:
+        total += ratio
+        ratio *= (trials - k) / (k + 1) * math.exp(odds) if upper else k / (trials - k + 1) / math.exp(odds)
+        k += 1 if upper else -1
+    tail = math.exp(min(0.0, term + math.log(total)))
+    return tail if upper else 1.0 - tail
+
+
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, unit, length, n, risk, near, ...) with p added."""
+    for batch in batches:
+        n, risk, near = (batch.column(i).to_pylist() for i in (3, 4, 5))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([binomial_tail(a, b, c) for a, b, c in zip(n, risk, near)], pa.float64())], names=[*batch.schema.names, "p"])
+
+
 def length_hazards(sizes: DataFrame) -> DataFrame:
-    """(source, unit, length, n, hazard, expected, p, significant) from rows (source, unit, length).
+    """(source, unit, length, n, risk, hazard, near, p, significant) from rows (source, unit, length).
 
-    Counts per length are combined before any shuffle; the windows run over distinct lengths, not over texts.
+    A limit gathers the texts that would have been longer: besides a hazard out of line it takes more texts than end at the
+    lengths before it (where a distribution simply ends, hazards rise and counts don't).
+    near is the hazard of the lengths around: their ends over their texts at risk, summed over every length there, whether
+    a text ends at it or not. Counts per length are combined before any shuffle; the windows run over distinct lengths.
     """
     counts = sizes.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     by = W.partitionBy("source", "unit").orderBy("length")
-    beyond = F.sum("n").over(W.partitionBy("source", "unit").orderBy(F.col("length").desc()).rowsBetween(W.unboundedPreceding, W.currentRow))
-    risk = counts.withColumn("risk", beyond)
     near = by.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    others = risk.withColumn("on", F.sum("n").over(near) - F.col("n"))
-    # texts at risk at every neighbouring length, present or not: approximated by the count at this length, which is within the window
-    expected = (F.col("on") + 0.5) / (2.0 * NEIGHBOURS)
-    tested = others.withColumn("expected", expected).withColumn("hazard", F.col("n") / F.col("risk"))
-    # Poisson tail in log form (Chernoff): P(N >= n) <= exp(n - e) (e / n)^n
-    tested = tested.withColumn("p", F.when(F.col("n") > F.col("expected"), F.exp(F.col("n") - F.col("expected") - F.col("n") * F.log(F.col("n") / F.col("expected")))).otherwise(F.lit(1.0)))
-    rank = tested.groupBy("p").agg(F.count("*").alias("ties"))
-    whole = rank.agg(F.sum("ties").alias("tests"))
-    # Benjamini-Hochberg over distinct p values; their number is bounded by the number of distinct lengths
-    ranked = rank.withColumn("rank", F.sum("ties").over(W.orderBy("p"))).join(whole)
-    limit = ranked.where(F.col("p") <= F.lit(FDR) * F.col("rank") / F.col("tests")).agg(F.max("p").alias("limit"))
-    return (
-        tested.join(limit)
-        .withColumn("significant", F.coalesce((F.col("p") <= F.col("limit")) & (F.col("n") - F.col("expected") >= LEAST_EXCESS), F.lit(False)))
-        .select("source", "unit", "length", "n", "hazard", "expected", "p", "significant")
+    beyond = W.partitionBy("source", "unit").orderBy(F.col("length").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    low, high = F.greatest(F.col("length") - NEIGHBOURS, F.lit(1)), F.col("length") + NEIGHBOURS
+    known = counts.select(
+        "*",
+        F.sum("n").over(beyond).alias("risk"),
+        F.sum("n").over(near).alias("ends"),
+        F.sum(F.col("n") * F.col("length")).over(near).alias("ends_length"),
+        F.sum("n").over(by.rangeBetween(0, NEIGHBOURS)).alias("ahead"),
+        (F.coalesce(F.sum("n").over(by.rangeBetween(-NEIGHBOURS, -1)), F.lit(0)) / NEIGHBOURS).alias("before"),
     )
+    # texts at risk summed over all lengths around: those that outlast them all, and those that end inside
+    at_risk = (F.col("risk") - F.col("ahead")) * (high - low + 1) + F.col("ends_length") - (low - 1) * F.col("ends") - F.col("risk")
+    pooled = (F.col("ends") - F.col("n") + 0.5) / (F.greatest(at_risk, F.lit(0)) + 1.0)
+    tested = known.select("source", "unit", F.col("length").cast("int").alias("length"), "n", "risk", F.least(pooled, F.lit(1.0)).alias("near"), "before")
+    tested = cut(tested.mapInArrow(_tails, "source string, unit string, length int, n bigint, risk bigint, near double, before double, p double"))
+    hazard = F.col("n") / F.col("risk")
+    stands_out = (F.col("p") <= fdr_limit(tested)) & (hazard >= EXCESS * F.col("near")) & (F.col("n") >= EXCESS * F.col("before"))
+    return tested.select("source", "unit", "length", "n", "risk", hazard.alias("hazard"), "near", "p", stands_out.alias("significant"))
 
 
-def _measures(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """(_k, source, text) to (_k, source, odds, tail, chars, bytes, bare, word, own): its last word and the hash of the text."""
-    for batch in batches:
-        odds, tails, chars, sizes, bares, words, owns = [], [], [], [], [], [], []
-        for text in batch.column(2).to_pylist():
-            if text is None or announces(text):
-                odds.append(None), tails.append(None), chars.append(None), sizes.append(None), bares.append(None), words.append(None), owns.append(None)
-                continue
-            b = bare(text)
-            rest = text[len(b) :] if text.startswith(b) else text[-3:]
-            plain = _REMARK.sub("", rest).strip()
-            kind = "damage" if "�" in rest else "dots" if re.search(r"\.\.|…", rest) else "mark" if re.search(r"[.!?。！？]", plain) else "remark" if rest.strip() else "none"
-            read, word = model.reading(text)
-            words.append(word), owns.append(_text_hash(text))
-            odds.append(read), tails.append(kind), chars.append(len(text)), sizes.append(len(text.encode("utf-8", "surrogatepass"))), bares.append(len(b))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(odds, pa.float64()), pa.array(tails, pa.string()), pa.array(chars, pa.int32()), pa.array(sizes, pa.int32()), pa.array(bares, pa.int32()), pa.array(words, pa.string()), pa.array(owns, pa.int64())],
-            names=["_k", "source", "odds", "tail", "chars", "bytes", "bare", "word", "own"],
-        )
+def fdr_limit(tested: DataFrame, rate: float = FDR) -> float:
+    """The largest p value that Benjamini-Hochberg accepts: from above, the limit that the number of p values below a limit allows.
 
+    Each step is a count; no p values are sorted anywhere. Steps only ever lower the limit, so they end at its fixed point.
+    """
+    tests = tested.count()
+    limit = rate
+    while tests:
+        held = tested.where(F.col("p") <= limit).count()
+        lower = rate * held / tests
+        if lower >= limit:
+            return limit
+        limit = lower
+    return 0.0
 
-def _text_hash(text: str) -> int:
-    """Of what stands before the break, so that marks put after it change nothing."""
-    return int.from_bytes(hashlib.blake2b(bare(text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
+_READ = "_k {kind}, source string, odds double, tail string, chars int, bytes int, bare int, word string, own bigint, listed boolean"
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_t) to (word, ending): the words of complete sentences; ending: a hash of the text if the word only ends it, else null."""
+
+def _read(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """(_k, source, text) to the measures of each text and, in rows of their own (listed), the words its complete sentences hold.
+
+    A listed word's own is null, or a hash of the text if the word only ends it.
+    """
+    fields = ["odds", "tail", "chars", "bytes", "bare", "word", "own"]
+    kinds = [pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
     for batch in batches:
-        rows: set[tuple[str, int | None]] = set()
-        for text in batch.column(0).to_pylist():
+        at, rows, words = [], [], set()
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            if text is None:
+                continue
             known, final = known_words(text)
-            rows.update((w, None) for w in known)
+            words.update((w, None) for w in known)
+            b = bare(text)
+            own = _text_hash(b)
             if final is not None:
-                rows.add((final, _text_hash(text)))
-        words, ends = zip(*rows) if rows else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ends, pa.int64())], names=["word", "ending"])
-
-
-def vocabulary(df: DataFrame, text: str) -> DataFrame:
-    """(word, inner, low, high): every word of a complete sentence, whether any text has it before its end, and the least and greatest hash of those it only ends."""
-    listed = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_t")).mapInArrow(_listed, "word string, ending bigint")
-    return listed.groupBy("word").agg(F.max(F.col("ending").isNull()).alias("inner"), F.min("ending").alias("low"), F.max("ending").alias("high"))
+                words.add((final, own))
+            if announces(text):
+                continue
+            rest = text[len(b) :] if text.startswith(b) else text[-3:]
+            plain = _remarkless(rest)
+            kind = "damage" if "�" in rest else "dots" if re.search(r"\.\.|…", rest) else "mark" if re.search(r"[.!?。！？]", plain) else "remark" if rest.strip() else "none"
+            odds, word = model.reading(b)
+            at.append(i)
+            rows.append((odds, kind, len(text), len(text.encode("utf-8", "surrogatepass")), len(b), word, own))
+        take = pa.array(at, pa.int64())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 7, kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns, pa.array([False] * len(at), pa.bool_())], names=["_k", "source", *fields, "listed"])
+        listed = {"word": pa.array([w for w, _ in words], pa.string()), "own": pa.array([h for _, h in words], pa.int64())}
+        nulls = [listed.get(f, pa.nulls(len(words), k)) for f, k in zip(fields, kinds)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), batch.column(0).type), pa.nulls(len(words), pa.string()), *nulls, pa.array([True] * len(words), pa.bool_())], names=["_k", "source", *fields, "listed"])
+
+
+def _text_hash(bared: str) -> int:
+    """Of what stands before the break, so that marks put after it change nothing."""
+    return int.from_bytes(hashlib.blake2b(bared.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def sample_texts(df: DataFrame, key: str, text: str, size: int = SAMPLE) -> list[str]:
@@ -303,38 +361,48 @@ def read_endings(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(_k, source, odds, tail, at_limit): log odds of an incomplete ending, what trails it, and whether it ends at a significant length."""
     fitted = EndModel(sample_texts(df, key, text))
     model = df.sparkSession.sparkContext.broadcast(fitted)  # a fixed number of weights
-    rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("_t"))
+    rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("_t"))
     kind = rows.schema["_k"].dataType.simpleString()
-    read = cut(rows.mapInArrow(lambda it: _measures(it, model.value), f"_k {kind}, source string, odds double, tail string, chars int, bytes int, bare int, word string, own bigint").where("odds is not null"))
-    lengths = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes", "bare"))))
-    sizes = read.select("source", lengths.alias("l")).select("source", "l.*")
-    # one row per source and significant length: as many as there are limits in use
-    limits = length_hazards(sizes).where("significant").select("source", "unit", "length")
-    slack = F.explode(F.sequence(F.col("length"), F.col("length") + F.when(F.col("unit") == "bytes", 2).otherwise(0)))
-    hit = read.select("_k", "source", lengths.alias("l")).select("_k", "source", "l.*").join(limits.withColumn("length", slack).distinct(), ["source", "unit", "length"], "left_semi")
-    known = vocabulary(df, text).withColumnRenamed("word", "_w")
+    every = cut(rows.mapInArrow(lambda it: _read(it, model.value), _READ.format(kind=kind)))
+    read = every.where("not listed")
+    units_of = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes", "bare"))))
+    hazards = length_hazards(read.select("source", units_of.alias("l")).select("source", "l.*"))
+    # a source's limits in one row; a cut of bytes may leave out the rest of a code point
+    limits = hazards.where("significant").groupBy("source").agg(F.collect_set(F.struct("unit", "length")).alias("_limits"))
+    near = F.exists("_limits", lambda x: ((x.unit == "chars") & (x.length == F.col("chars"))) | ((x.unit == "bare") & (x.length == F.col("bare"))) | ((x.unit == "bytes") & F.col("bytes").between(x.length, x.length + 2)))
+    # every word of a complete sentence: whether any text has it before its end, else the hashes of the texts it ends
+    known = every.where("listed").groupBy(F.col("word").alias("_w")).agg(F.max(F.col("own").isNull()).alias("inner"), F.min("own").alias("low"), F.max("own").alias("high"))
     # texts without such a word are spread over keys of their own
     looked = read.withColumn("_w", F.coalesce("word", F.concat(F.lit(" "), F.pmod(F.xxhash64("_k"), F.lit(1024)).cast("string")))).join(known, "_w", "left")
     unknown = F.col("word").isNotNull() & ~F.coalesce(F.col("inner") | (F.col("low") != F.col("own")) | (F.col("high") != F.col("own")), F.lit(False))
     odds = F.col("odds") + F.when(unknown, F.lit(fitted.unknown)).otherwise(0.0)
-    return looked.join(hit.select("_k").distinct().withColumn("_hit", F.lit(True)), "_k", "left").select("_k", "source", odds.alias("odds"), "tail", F.coalesce("_hit", F.lit(False)).alias("at_limit"))
+    return looked.join(limits, "source", "left").select("_k", "source", odds.alias("odds"), "tail", F.coalesce(near, F.lit(False)).alias("at_limit"))
+
+
+def _settled(group: pa.Table) -> pa.Table:
+    """(source, tail, at_limit, prior): the share of breaks in a group, from its histogram (o, n) of log odds."""
+    at_limit, tail = group.column("at_limit")[0].as_py(), group.column("tail")[0].as_py()
+    odds, n = np.clip(group.column("o").to_numpy(), -12, 12) - BALANCE, group.column("n").to_numpy()
+    prior = 0.5 if at_limit else 0.02 if tail == "mark" else 0.2
+    for _ in range(ROUNDS):
+        post = 1 / (1 + np.exp(-(odds + np.log(prior / (1 - prior)))))
+        prior = ((post * n).sum() + 0.2) / (n.sum() + 2)
+    return pa.table({**{c: group.column(c).slice(0, 1) for c in ("source", "tail", "at_limit")}, "prior": pa.array([prior], pa.float64())})
 
 
-def judged(df: DataFrame, key: str, text: str, source: str, rounds: int = 4) -> DataFrame:
-    """(_k, source, odds, tail, at_limit, truncated).
+def judged(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(_k, source, odds, tail, at_limit, truncated, rule).
 
-    The share of breaks in each group (source, trailing kind, at a limit or not) is estimated by a few rounds of
-    expectation-maximisation over the groups' histograms of odds; a text is truncated when its posterior is above one half.
+    The share of breaks in each group (source, trailing kind, at a limit or not) is estimated from its histogram of odds; a
+    text is truncated when its posterior is above one half. rule: limit or transfer, null where the text is whole.
     """
     read = cut(read_endings(df, key, text, source))
     group = ["source", "tail", "at_limit"]
-    bins = read.groupBy(*group, F.round("odds", 1).alias("o")).agg(F.count("*").alias("n"))
-    shares = bins.groupBy(*group).agg(F.sum("n").alias("total")).withColumn("prior", F.when(F.col("at_limit"), 0.5).otherwise(F.when(F.col("tail") == "mark", 0.02).otherwise(0.2)))
-    for _ in range(rounds):
-        post = 1 / (1 + F.exp(-(F.greatest(F.least(F.col("o"), F.lit(12.0)), F.lit(-12.0)) + F.log(F.col("prior") / (1 - F.col("prior"))) - F.lit(BALANCE))))
-        fitted = bins.join(shares, group).groupBy(*group).agg(((F.sum(post * F.col("n")) + 0.2) / (F.sum("n") + 2)).alias("prior"))
-        shares = shares.drop("prior").join(fitted, group)
-    return read.join(shares.select(*group, "prior"), group).withColumn("truncated", F.col("odds") + F.log(F.col("prior") / (1 - F.col("prior"))) - F.lit(BALANCE) > 0).drop("prior")
+    bins = read.groupBy(*group, F.round("odds", 1).alias("o")).agg(F.count("*").alias("n"))  # some hundred rows a group
+    shares = bins.groupBy(*group).applyInArrow(_settled, "source string, tail string, at_limit boolean, prior double")
+    truncated = F.col("odds") + F.log(F.col("prior") / (1 - F.col("prior"))) - F.lit(BALANCE) > 0
+    rule = F.when(F.col("truncated"), F.when(F.col("at_limit"), "limit").otherwise("transfer"))
+    return read.join(shares, group).withColumn("truncated", truncated).withColumn("rule", rule).drop("prior")
 
 
 BALANCE = float(np.log(CUTS))  # the fit sees CUTS incomplete sentences for each complete one
@@ -346,7 +414,7 @@ def found(df: DataFrame, key: str = "submission_id", text: str = "text", source:
 
 
 def report(df: DataFrame, key: str = "submission_id", text: str = "text", source: str = "model") -> DataFrame:
-    """(source, texts, truncated, at_limit, share): how often each source truncates, of all its answers, null and empty ones included."""
+    """(source, texts, truncated, at_limit, in_transfer, share): how often each source truncates, of all its answers, null and empty ones included."""
     every = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count("*").alias("texts"))
-    broken = judged(df, key, text, source).where("truncated").groupBy("source").agg(F.count("*").alias("truncated"), F.count_if("at_limit").alias("at_limit"))
-    return every.join(broken, "source", "left").na.fill(0, ["truncated", "at_limit"]).withColumn("share", F.col("truncated") / F.col("texts"))
+    broken = judged(df, key, text, source).where("truncated").groupBy("source").agg(F.count("*").alias("truncated"), F.count_if(F.col("rule") == "limit").alias("at_limit"), F.count_if(F.col("rule") == "transfer").alias("in_transfer"))
+    return every.join(broken, "source", "left").na.fill(0, ["truncated", "at_limit", "in_transfer"]).withColumn("share", F.col("truncated") / F.col("texts"))

@@ -202,6 +202,57 @@ def test_hazards_find_limits(spark):
     assert [(r["source"], r["length"]) for r in out] == [("a", 200)]
 
 
+def test_hazards_weigh_texts_at_risk(spark):
+    # equal counts at 100 and 300, but nearly all texts end before 300: there the same count is the usual hazard
+    lengths = [100] * 8 + [300] * 8 + [n for n in range(80, 121) for _ in range(2)] + [n for n in range(280, 321) for _ in range(8)] + [150] * 20000
+    out = {r["length"]: r for r in truncation.length_hazards(spark.createDataFrame([("a", "chars", n) for n in lengths], "source string, unit string, length int")).collect()}
+    assert out[100]["n"] == 10 and out[300]["n"] == 16 and out[100]["significant"] and not out[300]["significant"]
+    risk = lambda n: sum(x >= n for x in lengths)
+    for n in (100, 150, 300, 281):
+        around = [m for m in range(n - truncation.NEIGHBOURS, n + truncation.NEIGHBOURS + 1) if m != n and m >= 1]
+        ends = sum(x in set(around) for x in lengths)
+        assert out[n]["near"] == pytest.approx((ends + 0.5) / (sum(map(risk, around)) + 1)) and out[n]["risk"] == risk(n)
+
+
+def test_binomial_tail():
+    from math import comb
+
+    for trials, p in ((5, 0.3), (40, 0.02), (40, 0.6), (300, 0.9), (1, 0.5)):
+        for n in range(trials + 1):
+            want = sum(comb(trials, k) * p**k * (1 - p) ** (trials - k) for k in range(n, trials + 1))
+            assert truncation.binomial_tail(n, trials, p) == pytest.approx(want, rel=1e-9, abs=1e-12)
+    assert truncation.binomial_tail(0, 9, 0.1) == 1 and truncation.binomial_tail(10, 9, 0.1) == 0 and truncation.binomial_tail(3, 9, 1.0) == 1
+
+
+def test_fdr_limit(spark):
+    rng = np.random.default_rng(4)
+    for ps in ([], [0.5, 0.9], np.concatenate([rng.random(300), rng.random(20) * 1e-4]).tolist(), [0.001] * 5):
+        got = truncation.fdr_limit(spark.createDataFrame([(float(p),) for p in ps], "p double"), 0.05)
+        ranked = sorted(ps)
+        held = [p for k, p in enumerate(ranked, 1) if p <= 0.05 * k / len(ranked)]
+        assert [p for p in ranked if p <= got] == ranked[: len([p for p in ranked if held and p <= held[-1]])]
+
+
+def test_rows_name_their_rule(spark):
+    rng = random.Random(11)
+    pets = "cat dog moon lamp bridge swan clerk spoon".split()
+    text = lambda n: " ".join(f"The {rng.choice(pets)} met a {rng.choice(pets)}." for _ in range(n))
+    rows = [(i, t[:70] if len(t) > 70 else t, "m") for i, t in enumerate(text(rng.randrange(1, 6)) for _ in range(600))] + [(900, "The cat met a dog. The moon met a", "m")]
+    out = {r["_k"]: r["rule"] for r in truncation.judged(spark.createDataFrame(rows, "k bigint, t string, source string"), "k", "t", "source").collect()}
+    assert {out[k] for k, t, _ in rows if len(t) == 70 and t.split()[-1] in ("The", "met", "a")} == {"limit"}
+    assert sum(out[k] == "limit" for k, t, _ in rows if len(t) != 70) == 0 and out[900] in ("transfer", None)
+
+
+@pytest.mark.parametrize("text, want", [("The cat sat 😂 #funny hahaha!!", "The cat sat"), ("The ca... 哈哈", "The ca"), ("The #cat sat", "The #cat sat"), ("The cat ;) ~~ \n", "The cat"), ("hahaha", ""), ("", ""), ("The cat sat" + "." * 3000, "The cat sat"), ("The cat�", "The cat")])
+def test_bare(text, want):
+    assert truncation.bare(text) == want
+
+
+@pytest.mark.parametrize("times", [1, 14, 15, 400])
+def test_announcements_of_any_length(times):
+    assert truncation.announces("sure " * times) and not truncation.announces("sure " * times + "cat")
+
+
 @pytest.mark.parametrize("text, want", [("Sure! Here you go:", True), ("**Joke**", True), ("", True), ("...", True), ("​", True), ("笑话：", True), ("¡Claro! Aquí tienes:", True), ("A cat.", False), ("笑话：猫跳了。", False)])
 def test_announcements(text, want):
     assert truncation.announces(text) == want
