@@ -1,8 +1,8 @@
 """Problem 2: broken prompt and response pairs, each with its defect.
 
-Method: responses are sorted by text and each is compared with its neighbour's beginning to find shortened versions;
-length-limit spikes are detected (truncation); then copy, refusal and language rules apply. Defects are exclusive, in the
-order empty, copied, refusal, language, truncated.
+Method: responses are sorted by text and neighbours' common prefixes are compared to find shortened versions; length-limit
+spikes are detected (truncation); then copy, refusal and language rules apply. Defects are exclusive, in the order empty,
+copied, refusal, language, truncated.
 
 Defined results: a null or blank answer is empty; an answer whose prompt is missing, null or empty can't be copied; an
 answer whose prompt id names no known language has no language defect; undetermined texts have none either; repeated rows
@@ -12,12 +12,12 @@ get equal defects; answers and prompts of any length are read whole; an empty ta
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -26,7 +26,6 @@ from .neardup import tokens
 from .unify import fold_text
 
 SHORTENED_ODDS = -1.0  # log odds of an incomplete ending that a shortened version needs
-REFUSAL_CHARS = 400  # a text that is nothing but a refusal stays below
 _QUOTED = re.compile(r"[\"“«„「『][^\"”»“」』]*[\"”»“」』]")
 _SUBJECT = re.compile(r"['‘’\"“「](.+)['’\"”」]")
 # Words of consent that may precede a copy.
@@ -68,35 +67,110 @@ def copies(answer: str, prompt: str | None) -> bool:
     return bool(subject) and (about == len(subject) or (about >= 0.93 * len(subject) and said[-1] == asked[-1]))
 
 
+# What goes with declining: regret, thanks for the request, its subject, offers of something else.
+COURTESY = re.compile(
+    r"""
+    \b(?:sorry|apologi[sz]e|apologies|unfortunately|regret|thank\ you\ for\ asking|thanks\ for|request|prompt|topic|theme|subject|something\ else|help\ you\ with|feel\ free|ask\ me|instead|sensitive|hurt|respect)\b
+    | \b(?:lo\ siento|disculpa|perdona|por\ desgracia|lamentablemente|lamento|gracias\ por|petición|tema|pregúntame|prueba\ con|otra\ cosa|delicado|herir)\b
+    | 抱歉|对不起|不好意思|遗憾|谢谢你的提问|请求|话题|别的事情|欢迎问|换一个|敏感|伤害
+    | \b(?:désolée?|malheureusement|regrette|demande|sujet|autre\ chose|tut\ mir\ leid|leider|entschuldigung|anfrage|thema|etwas\ anderes|desculpe|infelizmente|lamento|pedido|assunto|outra\ coisa)\b
+    | 申し訳|すみません|残念|ご依頼|話題|別の
+    """,
+    re.IGNORECASE | re.VERBOSE,
+)
+
+
 def refuses(answer: str) -> bool:
-    """Whether the writer, not somebody in a joke, declines."""
-    if len(answer) > REFUSAL_CHARS:
-        return False
+    """Whether the writer, not somebody in a joke, declines: one sentence does, and at least half of all do or go with it.
+
+    Words in quotation marks are nobody's refusal; where and how far in the sentence stands makes no difference.
+    """
     plain = fold_text(answer)
     if len(plain) > 1 and plain[0] in "\"“«‘'" and plain[-1] in "\"”»’'":
         plain = plain[1:-1]  # the whole answer stands in quotes
-    outside = _QUOTED.sub(" ", plain)
-    parts = truncation.units(outside)
-    # the refusal stands at the start, perhaps after a word of regret, and nothing told follows it
-    return len(parts) <= 4 and any(REFUSALS.search(p) for p in parts[:2])
+    if not REFUSALS.search(plain):
+        return False
+    parts = truncation.units(_QUOTED.sub(" ", plain))
+    declining = [REFUSALS.search(p) is not None for p in parts]
+    polite = [d or COURTESY.search(p) is not None for d, p in zip(declining, parts)]
+    return any(declining) and 2 * sum(polite) >= len(parts)
+
+
+_MARKS = " \t\n\r\xa0\u3000.…。!?！？�\"'“”’»」』)）"
+_ENDS_THERE = re.compile(r"[\s.!?…。！？\"”»]*$|[.!?。！？…\r\n]")
+
+
+def goes_on(stem: str, longer: str) -> bool:
+    """Whether a text that begins with the stem goes on in the middle of a sentence."""
+    return _ENDS_THERE.match(longer, len(stem)) is None
+
+
+def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_k, _t) to (_k, stem): texts without the marks at their end; texts of marks alone give no row."""
+    for batch in batches:
+        stems = [t.rstrip(_MARKS) for t in batch.column(1).to_pylist()]
+        keep = pa.array([i for i, s in enumerate(stems) if s], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), pa.array([s for s in stems if s], pa.string())], names=["_k", "stem"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct stems of a partition to (stem, begun): those that another one goes on from, and those still open at its end.
+
+    The stems that begin the present one are held, the longest last; sorting puts all that begin with a stem right behind it.
+    """
+    held: list[list] = []  # [stem, whether another one goes on from it]
+    done: list[str] = []
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            while held and not text.startswith(held[-1][0]):
+                stem, begun = held.pop()
+                if begun:
+                    done.append(stem)
+            for entry in held:
+                if not entry[1]:
+                    entry[1] = goes_on(entry[0], text)
+            held.append([text, False])
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array([True] * len(done), pa.bool_())], names=["stem", "begun"])
+        done = []
+    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.string()), pa.array([b for _, b in held], pa.bool_())], names=["stem", "begun"])
+
+
+def _reopened(batches: Iterator[pa.RecordBatch], held: list[str]) -> Iterator[pa.RecordBatch]:
+    """Stems to those of the held ones that one of them goes on from."""
+    above: list[int] = []  # of each held stem the longest other one that begins it
+    for i, stem in enumerate(held):
+        k = i - 1
+        while k >= 0 and not stem.startswith(held[k]):
+            k = above[k]
+        above.append(k)
+    found: set[str] = set()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            k = bisect_right(held, text) - 1
+            while k >= 0:
+                if len(held[k]) < len(text) and text.startswith(held[k]) and goes_on(held[k], text):
+                    found.add(held[k])
+                k = above[k]
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["stem"])
 
 
 def shortened(rows: DataFrame) -> DataFrame:
-    """(_k): answers that are a proper beginning of the next one in text order, broken inside a word or sentence.
+    """(_k): answers that begin another one, which goes on in the middle of the sentence.
 
-    Equal texts collapse first. Distinct texts are range-partitioned and sorted; if a text begins another one, it begins its
-    immediate successor. The successor of a partition's last text is the first text of the next partition that has rows.
+    Equal texts collapse first, and marks at the end of a text are no part of it. Distinct texts are range-partitioned and
+    sorted; each is compared with the neighbours before it that it begins with. What begins the last text of a partition may
+    go on in the next ones: those few (a partition's nested beginnings of one text) are held against all texts in a second
+    pass.
     """
-    texts = rows.select("_k", F.regexp_replace("_t", r"[\s.…。�]+$", "").alias("stem")).where("stem <> ''")
+    kind = rows.schema["_k"].dataType.simpleString()
+    texts = cut(rows.select("_k", "_t").where("_t is not null").mapInArrow(_stems, f"_k {kind}, stem string"))
     distinct = texts.select("stem").distinct()
-    placed = cut(distinct.repartitionByRange("stem").withColumn("pid", F.spark_partition_id()))
-    inner = F.lead("stem").over(W.partitionBy("pid").orderBy("stem"))
-    firsts = placed.groupBy("pid").agg(F.min("stem").alias("head"))  # one row per partition
-    heads = firsts.withColumn("next_head", F.lead("head").over(W.orderBy("pid"))).select("pid", "next_head")
-    followed = placed.withColumn("succ", inner).join(heads, "pid").withColumn("succ", F.coalesce("succ", "next_head"))
-    # the neighbour goes on in the middle of a sentence
-    goes_on = F.col("succ").startswith(F.col("stem")) & ~F.expr("substring(succ, length(stem) + 1)").rlike(r"^[\s.!?…。！？\"”»]*$|^[.!?。！？…]|^[\r\n]")
-    begun = followed.where("succ is not null").where(goes_on).select("stem")
+    scanned = cut(distinct.repartitionByRange("stem").sortWithinPartitions("stem").mapInArrow(_neighbours, "stem string, begun boolean"))
+    begun = scanned.where("begun").select("stem")
+    held = sorted(r["stem"] for r in scanned.where("not begun").select("stem").collect())  # bounded by the partitions, not the rows
+    if held:
+        shared = rows.sparkSession.sparkContext.broadcast(held)
+        begun = begun.union(texts.select("stem").mapInArrow(lambda it: _reopened(it, shared.value), "stem string")).distinct()
     return texts.join(begun, "stem", "left_semi").select("_k")
 
 
@@ -138,6 +212,6 @@ def defective(answers: DataFrame, prompts: DataFrame, key: str = "submission_id"
     model = answers.sparkSession.sparkContext.broadcast(langid.Identifier(sample) if sample else None)  # bounded by the sample
     ruled = cut(rows.join(asked, "_id", "left").select("_k", "_id", "_t", "_p").mapInArrow(lambda it: _ruled(it, model.value), f"_k {kind}, defect string"))
     ends = truncation.judged(answers, key, text, source)
-    short = shortened(rows.where("_t is not null")).distinct().withColumn("_short", F.lit(True))
+    short = shortened(rows).distinct().withColumn("_short", F.lit(True))
     broken = ends.join(short, "_k", "left").where(F.col("truncated") | (F.col("_short") & (F.col("odds") > SHORTENED_ODDS))).select("_k", F.lit("truncated").alias("_cut"))
     return ruled.join(broken, "_k", "left").select(F.col("_k").alias(key), F.coalesce("defect", "_cut").alias("defect")).where("defect is not null")

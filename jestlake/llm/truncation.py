@@ -54,6 +54,7 @@ ANNOUNCE = set(
     bien sûr voici voilà une blague votre ta la claro aqui está vai uma piada sua hier ist kommt ein der witz gerne natürlich dein
     好 的 当 然 可 以 没 问 题 给 你 这 是 一 个 请 看 下 面 笑 话 来 了 如 就 有 段 子 ジ ョ ー ク 冗 談 で す は い こ ち ら""".split()
 )
+_PLAIN = re.compile(rf"[{CJK}]|[^\W\d_{CJK}]+|\d+")
 _UNIT_END = re.compile(rf"[.!?…。！？｡．]+[\"'”’»）)\]」』]*(?:\s+|(?=[{CJK}“「《])|$)")
 
 
@@ -72,8 +73,8 @@ def _remarkless(text: str) -> str:
     """The text without the remarks at its end; a remark holds no white space, so only last words are looked at."""
     while True:
         text = text.rstrip()
-        at = 1 + max(text.rfind(ch) for ch in " \n\t\xa0\u3000")
-        found = _REMARK.search(text, at)
+        last = text.rsplit(None, 1)[-1:]
+        found = _REMARK.search(text, len(text) - len(last[0])) if last else None
         if found is None:
             return text
         text = text[: found.start()]
@@ -81,8 +82,7 @@ def _remarkless(text: str) -> str:
 
 def announces(text: str) -> bool:
     """Whether a text says nothing but that a joke follows (or nothing at all), at whatever length."""
-    words = re.findall(rf"[{CJK}]|[^\W\d_{CJK}]+|\d+", _DAMAGE.sub(" ", text.lower()))
-    return all(w in ANNOUNCE for w in words)
+    return all(m[0] in ANNOUNCE for m in _PLAIN.finditer(_DAMAGE.sub(" ", text.lower())))
 
 
 def units(text: str) -> list[str]:
@@ -108,9 +108,28 @@ def _key(*parts: str) -> int:
     return zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
+class _Memo(dict):
+    """Results of a function of a word; forgets all when it grows too large."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) > 200_000:
+            self.clear()
+        value = self[word] = self.of(word)
+        return value
+
+
+_shapes = _Memo(_shape)
+_IDEOGRAPH = re.compile(rf"[{CJK}]")
+_is_spelt = _Memo(lambda word: word[0].isalpha() and not _IDEOGRAPH.match(word))
+
+
 def _words(unit: str) -> list[str]:
     """Tokens of a sentence without its end mark."""
-    toks = [_shape(t) for t in _TOKEN.findall(unit)]
+    toks = [_shapes[t] for t in _TOKEN.findall(unit)]
     if toks and len(toks[-1]) > 1 and toks[-1][-1] == ".":
         toks[-1] = toks[-1][:-1]
     return toks
@@ -118,7 +137,7 @@ def _words(unit: str) -> list[str]:
 
 def _spelt(word: str) -> bool:
     """Whether a token is a word of letters that a break could cut."""
-    return word[0].isalpha() and not re.match(rf"[{CJK}]", word)
+    return _is_spelt[word]
 
 
 def complete(text: str) -> tuple[list[str], list[str]]:
@@ -132,9 +151,9 @@ def complete(text: str) -> tuple[list[str], list[str]]:
 def known_words(text: str) -> tuple[set[str], str | None]:
     """Words of the complete sentences of a text; apart from them the one that stands only at its very end."""
     inner, last = complete(text)
-    known = {w for s in inner for w in _words(s) if _spelt(w)}
+    known = {w for s in inner for w in set(_words(s)) if _is_spelt[w]}
     toks = _words(last[0]) if last else []
-    known.update(w for w in toks[:-1] if _spelt(w))
+    known.update(w for w in toks[:-1] if _is_spelt[w])
     final = toks[-1] if toks and _spelt(toks[-1]) and toks[-1] not in known else None
     return known, final
 
@@ -144,7 +163,7 @@ def features(unit: str, vocabulary: set[int] | None) -> list[int]:
     toks = _words(unit)
     if not toks:
         return [_key("none")]
-    script = "c" if re.match(rf"[{CJK}]", toks[-1]) else "l"
+    script = "c" if _IDEOGRAPH.match(toks[-1]) else "l"
     start = " ".join(toks[: 3 if script == "c" else 2])
     n = len(toks)
     out = [_key("bias"), _key("1", toks[-1]), _key("s", start), _key("s1", start, toks[-1]), _key("n", script, str(min(n, 40) // 2)), _key("sn", start, str(min(n, 60) // 3))]

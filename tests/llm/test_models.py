@@ -262,6 +262,39 @@ REFUSING = ["I'm sorry, but I can't write a joke about this topic. Please try an
 JOKING = ['"I\'m sorry, I can\'t help with that," said the salesman, and left.', "Our landlord had to decline because a kettle was too expensive. He left.", "我的理发师只好拒绝，因为一袋面粉对星期一过敏。", '"I won\'t write that joke," my boss said last winter, but I slept.', "«Lo siento, no puedo ayudarte», dijo mi tía, y pintó un cactus."]
 
 
+LONG_REFUSAL = "Thank you for asking about this topic, which I have read with great care and more than once. " * 5 + "Unfortunately, I can't write a joke about this subject. " + "Please feel free to ask me about something else, such as a lighter theme or another prompt that hurts nobody at all. " * 4
+LONG_JOKE = "The baker sold a loaf to the mayor. The mayor paid with a button. I can't say who laughed first. Then the loaf went home by bus. " * 6
+
+
+def test_refusals_of_any_length():
+    assert len(LONG_REFUSAL) > 800 and pairs.refuses(LONG_REFUSAL) and pairs.refuses("Sorry. Thank you for asking. I must decline. Ask me about something else.")
+    assert not pairs.refuses(LONG_JOKE) and not pairs.refuses(LONG_JOKE[:130])
+
+
+def brute_shortened(texts):
+    stems = {t.rstrip(pairs._MARKS) for t in texts if t} - {""}
+    begun = {s for s in stems if any(t != s and t.startswith(s) and pairs.goes_on(s, t) for t in stems)}
+    return {i for i, t in enumerate(texts) if t and t.rstrip(pairs._MARKS) in begun}
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_shortened_across_variants_and_partitions(spark, partitions):
+    rng = random.Random(partitions)
+    texts = ["The dog and the ca", "The dog and the ca!", "The dog and the cat slept.", "The cat", "The cat. It slept.", "The cats ran away.", "The dog...", None, "", "!!", "x", "x" * 5000]
+    whole = [" ".join(rng.choice(["sun", "moon", "sunny", "lamp", "la"]) for _ in range(12)) for _ in range(60)]
+    texts += [w[: rng.randrange(3, len(w) + 1)] + rng.choice(["", ".", "...", "!"]) for w in whole for _ in range(3)] + whole
+    df = spark.createDataFrame(list(enumerate(texts)), "_k bigint, _t string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [r[0] for r in pairs.shortened(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got) == sorted(brute_shortened(texts)) and {0, 1, 3} <= set(got)
+
+
 def test_refusals():
     assert all(pairs.refuses(t) for t in REFUSING) and not any(pairs.refuses(t) for t in JOKING)
 
