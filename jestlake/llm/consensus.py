@@ -8,7 +8,8 @@ discretised bell around a bias that may depend on the label), so that annotators
 Every iteration is one pass over the items that returns, per partition, sums whose number depends only on the numbers of
 annotators, classes and features; Spark adds them up, and the driver sees one row per parameter.
 
-Defined results: a row delivered twice counts once (the latest loaded_at, ties by the larger label); labels and scores
+Defined results: a row delivered twice counts once (the latest loaded_at, ties by the larger label), and so does an annotator
+who labelled an item more than once (the latest label; of a model's scores the greatest valid one); labels and scores
 outside the scale and nulls are no votes; null annotators are no annotators; items without any vote get their label from
 the classifier; a posterior tie goes to the smaller label; agreement is null for fewer than two votes; an empty table gives
 empty results.
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 
 CLASSES = 11
-ITERATIONS = 25
+ITERATIONS = 200  # it settles long before
 TOLERANCE = 1e-4  # mean change of log likelihood per vote that ends the iterations
 WORDS = 32  # hashed word features
 FEATURES = WORDS + 8
@@ -62,21 +63,24 @@ def item_features(text: str | None) -> np.ndarray:
 
 
 def votes(df: DataFrame, item: str = "item_id", low: int = 0, high: int = CLASSES - 1) -> DataFrame:
-    """(item, annotator, label): one vote per delivered label and per item and model, within the scale."""
-    latest = df.groupBy("eval_id").agg(F.max(F.struct(F.coalesce("loaded_at", F.to_timestamp(F.lit("1970-01-01"))).alias("t"), "labels", F.col(item).alias("i"), F.trim("labeler").alias("w"), "llama_score", "gpt_score")).alias("r"))
-    rows = latest.select(F.col("r.i").alias("item"), "r.labels", "r.w", "r.llama_score", "r.gpt_score").where("item is not null")
-    human = rows.select("item", F.concat(F.lit("labeler:"), "w").alias("annotator"), F.col("labels").cast("int").alias("label"))
-    # a model's score is repeated on the item's rows: it is one vote
-    models = [rows.groupBy("item").agg(F.max(F.when(F.col(c).between(low, high), F.col(c))).cast("int").alias("label")).select("item", F.lit(f"model:{c}").alias("annotator"), "label") for c in ("llama_score", "gpt_score")]
-    every = human.unionByName(models[0]).unionByName(models[1])
-    return every.where(F.col("annotator").isNotNull() & F.col("label").between(low, high))
+    """(item, annotator, label): one vote per item and annotator, within the scale: the last one delivered."""
+    when = F.coalesce("loaded_at", F.to_timestamp(F.lit("1970-01-01")))
+    latest = df.groupBy("eval_id").agg(F.max(F.struct(when.alias("t"), "labels", F.col(item).alias("i"), F.trim("labeler").alias("w"), "llama_score", "gpt_score")).alias("r"))
+    rows = latest.select(F.col("r.i").alias("item"), F.col("r.t").alias("t"), "eval_id", "r.labels", "r.w", "r.llama_score", "r.gpt_score").where("item is not null")
+    cast = F.array(
+        F.struct(F.concat(F.lit("labeler:"), "w").alias("annotator"), F.col("labels").cast("int").alias("label")),
+        *(F.struct(F.lit(f"model:{c}").alias("annotator"), F.col(c).cast("int").alias("label")) for c in ("llama_score", "gpt_score")),
+    )
+    every = rows.select("item", "t", "eval_id", F.explode(cast).alias("v")).select("item", "t", "eval_id", "v.*").where(F.col("annotator").isNotNull() & F.col("label").between(low, high))
+    # a model's score is repeated on the item's rows: it is one vote, the greatest of the valid ones
+    order = F.when(F.startswith("annotator", F.lit("model:")), F.struct(F.to_timestamp(F.lit("1970-01-01")).alias("t"), F.lit(0).cast("bigint").alias("e"), "label")).otherwise(F.struct("t", F.col("eval_id").cast("bigint").alias("e"), "label"))
+    return every.groupBy("item", "annotator").agg(F.max(order).alias("o")).select("item", "annotator", F.col("o.label").alias("label"))
 
 
 class Model:
     """Classifier weights and annotators' confusion matrices."""
 
     def __init__(self, annotators: list[str]):
-        self.at = {a: i for i, a in enumerate(annotators)}
         self.names = annotators
         n = len(annotators)
         step = np.abs(np.arange(CLASSES)[:, None] - np.arange(CLASSES)[None, :])
@@ -91,7 +95,8 @@ class Model:
         prior = np.exp(z)
         prior = (prior / prior.sum(axis=1, keepdims=True) + 1e-6) / (1 + CLASSES * 1e-6)
         logs = np.log(prior)
-        np.add.at(logs, owner, self.log_confusion[who, :, label])
+        for c in range(CLASSES):
+            logs[:, c] += np.bincount(owner, self.log_confusion[who, c, label], len(logs))
         top = logs.max(axis=1, keepdims=True)
         post = np.exp(logs - top)
         total = post.sum(axis=1, keepdims=True)
@@ -105,7 +110,8 @@ class Model:
         items, loglik, cast = 0, 0.0, 0
         for features, who, label, owner in batches:
             post, prior, ll = self.posterior(features, who, label, owner)
-            np.add.at(counts.transpose(0, 2, 1), (who, label), post[owner])
+            for c in range(CLASSES):
+                counts[:, c, :] += np.bincount(who * CLASSES + label, post[owner, c], len(self.names) * CLASSES).reshape(-1, CLASSES)
             gradient += (post - prior).T @ features
             size = np.abs(features)
             curvature += (prior * (1 - prior)).T @ (size * size.sum(axis=1, keepdims=True))  # bounds the Hessian by its diagonal
@@ -150,26 +156,48 @@ def _profile(counts: np.ndarray) -> np.ndarray:
     return 0.93 * bell + 0.07 * base[None, :]
 
 
-def _blocks(batch: pa.RecordBatch, at: dict[str, int]) -> tuple:
-    """(features, who, label, owner) of a batch (item, text, annotators, labels)."""
-    features = np.stack([item_features(t) for t in batch.column(1).to_pylist()]) if batch.num_rows else np.zeros((0, FEATURES), np.float32)
-    names, labels = batch.column(2), batch.column(3)
-    sizes = np.diff(names.offsets.to_numpy())
-    who = np.array([at[a] for a in names.flatten().to_pylist()], np.int64)
-    return features, who, labels.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(batch.num_rows), sizes)
+def _blocks(batch: pa.RecordBatch) -> tuple:
+    """(features, who, label, owner) of a batch (item, features, who, labels)."""
+    features = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, FEATURES)
+    who, labels = batch.column(2), batch.column(3)
+    sizes = np.diff(who.offsets.to_numpy())
+    return features, who.flatten().to_numpy().astype(np.int64), labels.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(batch.num_rows), sizes)
+
+
+def _featured(batches: Iterator[pa.RecordBatch], at: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """(item, text, annotators, labels) to (item, features, who, labels): texts and names are read once, not once a round."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        features = np.stack([item_features(t) for t in batch.column(1).to_pylist()])
+        names = batch.column(2)
+        who = pa.array([at[a] for a in names.flatten().to_pylist()], pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.ListArray.from_arrays((np.arange(batch.num_rows + 1) * FEATURES).astype(np.int32), pa.array(features.ravel())), pa.ListArray.from_arrays(pa.array(names.offsets.to_numpy() - names.offsets[0].as_py()), who), batch.column(3)],
+            names=["item", "features", "who", "labels"],
+        )
 
 
-def _gathered(df: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, text, annotators, labels): an item's votes side by side; the number of annotators bounds a row."""
-    cast = votes(df, item).groupBy("item").agg(F.sort_array(F.collect_list(F.struct("annotator", "label"))).alias("v"))
+def gathered(df: DataFrame, item: str, text: str) -> tuple[DataFrame, list[str]]:
+    """(items, annotators): (item, features, who, labels), an item's votes side by side, one an annotator; who numbers the annotators.
+
+    The annotators' names come to the driver, as their confusion matrices do later: 121 numbers each.
+    """
+    every = cut(votes(df, item))
+    names = [r[0] for r in every.select("annotator").distinct().orderBy("annotator").collect()]
+    cast = every.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("annotator", "label"))).alias("v"))
     texts = df.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("item")).agg(F.max(F.trim(text)).alias("text"))
     empty = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<int>)")
-    return texts.join(cast, "item", "left").select("item", "text", F.coalesce(F.col("v.annotator"), empty[0]).alias("annotators"), F.coalesce(F.col("v.label"), empty[1]).alias("labels"))
+    rows = texts.join(cast, "item", "left").select("item", "text", F.coalesce(F.col("v.annotator"), empty[0]).alias("annotators"), F.coalesce(F.col("v.label"), empty[1]).alias("labels"))
+    kind = rows.schema["item"].dataType.simpleString()
+    at = {a: i for i, a in enumerate(names)}
+    items = cut(rows.mapInArrow(lambda it: _featured(it, at), f"item {kind}, features array<float>, who array<int>, labels array<int>"))
+    release(every)
+    return items, names
 
 
-def fit(items: DataFrame, iterations: int = ITERATIONS) -> Model:
-    """Runs expectation-maximisation over the gathered items."""
-    names = [r[0] for r in items.select(F.explode("annotators").alias("a")).distinct().orderBy("a").collect()]  # annotators: a bounded set
+def fit(items: DataFrame, names: list[str], iterations: int = ITERATIONS) -> Model:
+    """Runs expectation-maximisation over the gathered items. RuntimeError if it doesn't settle."""
     model = Model(names)
     if not names:
         return model
@@ -178,7 +206,7 @@ def fit(items: DataFrame, iterations: int = ITERATIONS) -> Model:
     for _ in range(iterations):
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            flat = model.sums(_blocks(b, model.at) for b in batches if b.num_rows)
+            flat = model.sums(_blocks(b) for b in batches if b.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "v"])
 
         flat = np.zeros(size)
@@ -186,9 +214,9 @@ def fit(items: DataFrame, iterations: int = ITERATIONS) -> Model:
             flat[row["i"]] = row["v"]
         now = model.update(flat)
         if abs(now - before) < TOLERANCE:
-            break
+            return model
         before = now
-    return model
+    raise RuntimeError(f"consensus: not settled after {iterations} iterations")
 
 
 def label_items(df: DataFrame, item: str = "item_id", text: str = "joke") -> DataFrame:
@@ -196,18 +224,17 @@ def label_items(df: DataFrame, item: str = "item_id", text: str = "joke") -> Dat
 
     agreement is the share of pairs of votes whose labels differ by at most one, over all pairs of the item.
     """
-    items = cut(_gathered(df, item, text))
-    model = fit(items)
+    items, names = gathered(df, item, text)
+    model = fit(items, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            features, who, label, owner = _blocks(batch, model.at)
+            features, who, label, owner = _blocks(batch)
             post, _, _ = model.posterior(features, who, label, owner)
             best = post.argmax(axis=1)
-            tallies = np.zeros((batch.num_rows, CLASSES))
-            np.add.at(tallies, (owner, label), 1)
+            tallies = np.bincount(owner * CLASSES + label, minlength=batch.num_rows * CLASSES).reshape(-1, CLASSES)
             n = tallies.sum(axis=1)
             close = (tallies * (tallies - 1) / 2).sum(axis=1) + (tallies[:, 1:] * tallies[:, :-1]).sum(axis=1)
             pairs = n * (n - 1) / 2
@@ -223,21 +250,22 @@ def label_items(df: DataFrame, item: str = "item_id", text: str = "joke") -> Dat
 
 def reliability(df: DataFrame, item: str = "item_id", text: str = "joke") -> DataFrame:
     """(annotator, votes, exact, near, mean_error, bias, correlation) of each annotator against the posterior labels."""
-    items = cut(_gathered(df, item, text))
-    model = fit(items)
+    items, names = gathered(df, item, text)
+    model = fit(items, names)
     spark = df.sparkSession
     schema = "annotator string, votes double, exact double, near double, mean_error double, bias double, correlation double"
     if not model.names:
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = model.sums(_blocks(b, model.at) for b in batches if b.num_rows)[: len(model.names) * CLASSES * CLASSES]
+        flat = model.sums(_blocks(b) for b in batches if b.num_rows)[: len(model.names) * CLASSES * CLASSES]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "n"])
 
     cells = items.mapInArrow(run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n"))
-    names = F.create_map(*(x for k, a in enumerate(model.names) for x in (F.lit(k), F.lit(a))))
     k = CLASSES * CLASSES
-    cells = cells.select(names[F.floor(F.col("i") / k).cast("int")].alias("annotator"), (F.floor(F.col("i") / CLASSES) % CLASSES).alias("truth"), (F.col("i") % CLASSES).alias("said"), "n")
+    numbered = spark.createDataFrame(list(enumerate(names)), "who int, annotator string")
+    cells = cells.withColumn("who", F.floor(F.col("i") / k).cast("int")).join(numbered, "who")
+    cells = cells.select("annotator", (F.floor(F.col("i") / CLASSES) % CLASSES).alias("truth"), (F.col("i") % CLASSES).alias("said"), "n")
     off = F.col("said") - F.col("truth")
     w = F.sum("n")
     mean_t, mean_s = F.sum(F.col("n") * F.col("truth")) / w, F.sum(F.col("n") * F.col("said")) / w

@@ -204,7 +204,8 @@ def _ruled(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 def defective(answers: DataFrame, prompts: DataFrame, key: str = "submission_id", link: str = "id", text: str = "text", source: str = "model") -> DataFrame:
     """(key, defect): every defective answer with its defect."""
-    asked = prompts.select(F.col(link).alias("_id"), F.col("prompt").alias("_p")).where("_id is not null").groupBy("_id").agg(F.max("_p").alias("_p"))
+    # written first, so that its size is known: the answers stay where they are if the prompts can be broadcast
+    asked = cut(prompts.select(F.col(link).alias("_id"), F.col("prompt").alias("_p")).where("_id is not null").groupBy("_id").agg(F.max("_p").alias("_p")))
     rows = answers.select(F.col(key).alias("_k"), F.col(link).alias("_id"), F.col(text).alias("_t"))
     kind = rows.schema["_k"].dataType.simpleString()
     labelled = answers.select(F.lit("answers").alias("src_table"), F.xxhash64(key).alias("rec_id"), F.col("lang"), F.col(text).alias("text"))

@@ -352,3 +352,18 @@ def test_consensus(spark):
     rel = {r["annotator"]: r for r in consensus.reliability(df).collect()}
     assert rel["labeler:good"]["mean_error"] < rel["labeler:fair"]["mean_error"] < rel["labeler:noise"]["mean_error"] and rel["labeler:high"]["bias"] > 1
     assert consensus.label_items(df.where("false")).count() == 0
+
+
+def test_consensus_says_when_it_does_not_settle(spark):
+    truth, out = synthetic(2, 40)
+    df = spark.createDataFrame(out, "eval_id bigint, item_id bigint, joke string, llama_score int, gpt_score int, labels int, labeler string").selectExpr("*", "timestamp'2021-01-01' as loaded_at")
+    items, names = consensus.gathered(df, "item_id", "joke")
+    with pytest.raises(RuntimeError):
+        consensus.fit(items, names, iterations=2)
+    assert len(consensus.fit(items, names).names) == 7
+
+
+def test_one_vote_an_annotator(spark):
+    rows = [(1, 5, "j", 3, 3, 2, "a", "2021-01-01"), (2, 5, "j", 3, 4, 7, "a", "2021-02-01"), (3, 5, "j", 3, 99, 9, " b ", "2021-01-01"), (3, 5, "j", 3, 99, 8, "b", "2021-03-01"), (4, 5, "j", None, None, 44, "c", None)]
+    df = spark.createDataFrame(rows, "eval_id bigint, item_id bigint, joke string, llama_score int, gpt_score int, labels int, labeler string, at string").selectExpr("*", "cast(at as timestamp) as loaded_at")
+    assert {(r["annotator"], r["label"]) for r in consensus.votes(df).collect()} == {("labeler:a", 7), ("labeler:b", 8), ("model:llama_score", 3), ("model:gpt_score", 4)}
