@@ -2,14 +2,16 @@
 
 Method: one interpolated Kneser-Ney character model per language, kept in sorted hash arrays (an array of n-gram hashes per
 order beside the log probabilities of all languages); a part of a text gets the language of the lowest length-normalised
-cross-entropy, unless that is higher than the calibrated limit of the language (then it is undetermined).
+cross-entropy, unless that is higher than the calibrated limit of the language (then it is undetermined). A part of a text
+leaves the text's language only on evidence, a gain in likelihood that has to be the greater the shorter it is; limits widen with the spread that a mean over so few
+letters has. Limits, spreads and the confidence (a logistic curve over the margin to
+the next language) are calibrated on parts that models of the other half of the sample read.
 
 The models are fitted on a bounded sample: SAMPLE records per declared language, those of the least key hash, over all
 tables together. Declared labels are partly wrong and some texts are mixed,
 so a sentence takes part in the last fit only if models of the other half of the sample agree with its label. Everything else covers every record and whole texts.
 
-Defined results: null, blank and mark-only texts have no parts; parts below MIN_VOTE weighted letters follow their text;
-ties go to the language code that sorts first; an empty table gives no rows; with no labelled sample at all every text is
+Defined results: null, blank and mark-only texts have no parts; ties go to the language code that sorts first; an empty table gives no rows; with no labelled sample at all every text is
 undetermined and gives no row.
 """
 
@@ -33,9 +35,9 @@ SAMPLE = 2000  # records per declared language
 ORDER = 5
 DISCOUNT = 0.75
 MIN_COUNT = {5: 2, 4: 1, 3: 1, 2: 1, 1: 1}  # rarer n-grams of the highest order go by their suffix
-MIN_LETTERS = 8  # a shorter part has no vote of its own
-MIN_VOTE = 30  # letters a part needs for a vote of its own, an ideograph or kana counting as WIDE letters
-WIDE = 4
+NAMES = 24.0  # letters at which twice that gain is wanted: the fewer they are, the likelier they are a name, which fits no language
+WIDE = 4  # letters that an ideograph or kana counts as
+SPREAD = 4.0  # deviations of a mean over a part's letters within which it is not rejected
 MIN_GAIN = 24.0  # nats by which a part must prefer another language than its text's
 MIN_GAIN_LETTER = 0.7  # and nats a letter
 CHUNK = 300_000  # code points scored at once
@@ -283,14 +285,27 @@ class Identifier:
                 sums[at] = own
             wanted = np.where(sums.argmax(axis=1) == declared[owner], declared[owner], -1)
         self.models = Models([_of(codes, part, wanted == k) for k in range(len(LANGS))])
-        # a part is rejected when its cross-entropy is nearer to what other languages' parts have under the model
-        self.limit = np.full(len(LANGS), np.inf)
-        long = letters >= 2 * MIN_LETTERS
+        # a part is rejected when its cross-entropy is nearer to what other languages' parts have under the model, and that is no chance of few letters
+        self.limit, self.mean, self.spread = np.full(len(LANGS), np.inf), np.zeros(len(LANGS)), np.zeros(len(LANGS))
+        some = letters > 0
         for k in range(len(LANGS)):
-            own, other = long & (wanted == k), long & (wanted >= 0) & (wanted != k)
+            own, other = some & (wanted == k), some & (wanted >= 0) & (wanted != k)
             if own.any() and other.any():
                 entropy = -sums[:, k] / np.maximum(letters, 1)
-                self.limit[k] = 0.2 * entropy[own].mean() + 0.8 * min(entropy[other & (wanted == m)].mean() for m in range(len(LANGS)) if m != k and (other & (wanted == m)).any())
+                mean = lambda of: np.average(entropy[of], weights=letters[of])  # noqa: B023, E731
+                self.mean[k] = mean(own)
+                self.spread[k] = np.sqrt(np.mean(letters[own] * (entropy[own] - self.mean[k]) ** 2))  # of one letter
+                self.limit[k] = 0.2 * self.mean[k] + 0.8 * min(mean(other & (wanted == m)) for m in range(len(LANGS)) if m != k and (other & (wanted == m)).any())
+        # parts of texts whose whole agrees with the declared language: how often is a part of such a margin read like its text?
+        whole = np.zeros((len(texts), len(LANGS)))
+        np.add.at(whole, owner, sums)
+        main = whole.argmax(axis=1)[owner]
+        row = np.arange(len(owner))
+        rival = sums.copy()
+        rival[row, main] = -np.inf
+        margin = sums[row, main] - rival.max(axis=1) if len(LANGS) > 1 else np.zeros(len(owner))
+        clean = some & (main == declared[owner]) & (margin > -MIN_GAIN)  # the rest are parts in another language
+        self.curve = _logistic_curve(np.abs(margin[clean]) / np.sqrt(letters[clean]), margin[clean] > 0)
 
     def parts(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(owner, at, lang, confidence, letters) of the parts of a batch of texts; lang -1: undetermined."""
@@ -301,18 +316,20 @@ class Identifier:
         row = np.arange(len(owner))
         best = sums.argmax(axis=1)
         gain = sums[row, best] - sums[row, main]
-        own = (sizes >= MIN_VOTE) & (gain > MIN_GAIN) & (gain > MIN_GAIN_LETTER * letters)
+        own = (gain > MIN_GAIN * (1 + (NAMES / np.maximum(sizes, 1)) ** 2)) & (gain > MIN_GAIN_LETTER * letters)
         lang = np.where(own, best, main)
         safe = np.maximum(letters, 1)
         # cross-entropy of the main language over all its parts of the text, of another language over its own part
         grouped = np.where(own, len(texts) + row, owner)
         weight = np.bincount(grouped, weights=letters, minlength=len(texts) + len(owner))[grouped]
         entropy = -np.bincount(grouped, weights=sums[row, lang], minlength=len(texts) + len(owner))[grouped] / np.maximum(weight, 1)
-        lang = np.where((weight >= 2 * MIN_LETTERS) & (entropy > self.limit[lang]), -1, lang)
+        chance = self.mean[lang] + SPREAD * self.spread[lang] / np.sqrt(np.maximum(weight, 1))
+        lang = np.where(entropy > np.maximum(self.limit[lang], chance), -1, lang)
         rival = sums.copy()
         rival[row, np.maximum(lang, 0)] = -np.inf
         margin = (sums[row, np.maximum(lang, 0)] - rival.max(axis=1)) / np.sqrt(safe)
-        confidence = np.where(lang < 0, 0.0, 1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+        slope, level = self.curve
+        confidence = np.where(lang < 0, 0.0, 1 / (1 + np.exp(-np.clip(slope * margin + level, -30, 30))))
         return owner, at, lang, confidence, letters
 
     def _scored(self, texts: list[str]):
@@ -325,6 +342,20 @@ class Identifier:
         return np.concatenate(owners), np.concatenate(ats), np.concatenate(sums), np.concatenate(letters), np.concatenate(sizes)
 
 
+def _logistic_curve(x: np.ndarray, right: np.ndarray) -> tuple[float, float]:
+    """(slope, level) of P(right) = 1 / (1 + exp(-slope x - level)), by Newton steps with a weak prior towards (1, 0)."""
+    at, pull = np.array([1.0, 0.0]), 1.0
+    data = np.stack([x, np.ones(len(x))], axis=1).astype(np.float64) if len(x) else np.zeros((0, 2))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(data @ at, -30, 30)))
+        gradient = data.T @ (right - p) - pull * (at - [1.0, 0.0])
+        step = np.linalg.solve((data * (p * (1 - p))[:, None]).T @ data + pull * np.eye(2), gradient)
+        at = at + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(max(at[0], 0.0)), float(at[1])
+
+
 def _prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, part, owner) of many texts, prepared in blocks so that little more than the result is held."""
     codes, parts, owners, start, count = [], [], [], 0, 0

@@ -63,6 +63,21 @@ def test_gibberish_is_undetermined(identifier):
     assert held(identifier, ["xqzvw kjhgf pqzzx wvkkq zzxqj bvqwx kkzqv " * 3]) == [{"und"}]
 
 
+@pytest.mark.parametrize("foreign", ["我奶奶睡着了。", "我奶奶在公交站睡着了，还拍下了两只左脚鞋。"])
+def test_foreign_parts_of_any_length(identifier, foreign):
+    assert held(identifier, ["The dentist fell asleep in the swimming pool. " + foreign]) == [{"en", "zh"}]
+    assert held(identifier, ["The tailor moved to Zwölk. It lies near No. 7. Nobody laughed at the zoo."]) == [{"en"}]
+
+
+def test_confidence_is_calibrated(identifier, labelled):
+    texts = [t for _, t in labelled[: len(labelled) // 4]]
+    owner, _, lang, confidence, letters = identifier.parts(texts)
+    declared = np.array([langid.LANGS.index(a) for a, _ in labelled[: len(labelled) // 4]])[owner]
+    sure = (confidence > 0.95) & (letters > 0)
+    assert sure.mean() > 0.3 and (lang == declared)[sure].mean() > 0.85  # some declared languages are wrong
+    assert confidence[(lang >= 0) & (letters > 60)].mean() > confidence[(lang >= 0) & (letters > 0) & (letters < 10)].mean()
+
+
 def test_language_tables(spark):
     schema = "src_table string, rec_id bigint, lang string, text string"
     assert langid.found(spark.createDataFrame([], schema)).count() == 0
