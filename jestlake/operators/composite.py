@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from .scorers import REGISTRY, is_valid, structure, text_size
+from .scorers import REGISTRY, formatting, is_valid, structure, text_size
 from ..functions.text import word_count
 
 
@@ -19,13 +19,15 @@ def weighted(scores: dict[str, Column], weights: dict[str, float], exclude: tupl
 
 
 def score_rows(df: DataFrame, text: str, prompt: str, lang: Column | str) -> DataFrame:
-    """Adds word_pair, headline, formatting, length and coherence by the registry."""
-    return df.withColumns({name: s.fn(F.col(text), F.col(prompt), lang) for name, s in REGISTRY.items()})
+    """Adds is_valid, and word_pair, headline, formatting, length and coherence by the registry; validity is judged once."""
+    judged = df.withColumn("is_valid", is_valid(F.col(text), lang))
+    own = {"formatting": formatting(F.col(text), lang, F.col("is_valid"))}
+    return judged.withColumns({name: own.get(name, s.fn(F.col(text), F.col(prompt), lang)) for name, s in REGISTRY.items()})
 
 
 def composite(df: DataFrame, rater: Column, text: str, lang: Column | str) -> DataFrame:
     """Adds composite: the rater where valid, plus word pair, formatting, length and coherence (columns of score_rows)."""
-    gated = F.when(is_valid(F.col(text), lang), rater).otherwise(0.0)
+    gated = F.when(F.col("is_valid") if "is_valid" in df.columns else is_valid(F.col(text), lang), rater).otherwise(0.0)
     scores = {"rater": gated, **{n: F.col(n) for n in ("word_pair", "formatting", "length", "coherence")}}
     return df.withColumn("composite", weighted(scores, L.COMPOSITE_WEIGHTS))
 
@@ -52,7 +54,7 @@ def detail_rows(df: DataFrame, rater: Column, text: str = "joke", prompt: str =
         F.col("formatting").alias("formatting_score"),
         F.col("length").alias("length_score"),
         F.col("coherence").alias("coherence_score"),
-        is_valid(t, lang).alias("is_valid"),
+        "is_valid",
         word_count(t).alias("word_count"),
         structure(t, lang).alias("structure"),
     )

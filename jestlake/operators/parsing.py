@@ -77,10 +77,20 @@ def rating(t: Column) -> Column:
     return F.coalesce(F.least(F.lit(10.0), F.greatest(F.lit(0.0), found.cast("double"))), F.lit(0.0))
 
 
+# a literal dictionary of a rating without leading zeros and a reason in either kind of quotes
+_PLAIN = r"""\A\{(?:'rating'|"rating"): (0|[1-9][0-9]{0,8}), (?:'reason'|"reason"): (?:'([^'"\\\r\n\x00]*)'|"([^'"\\\r\n\x00]*)")\}?\z"""
+
+
 def rating_and_reason(df: DataFrame, text: str) -> DataFrame:
-    """Adds rating and reason read from a literal dictionary, its closing brace perhaps missing; 0 and '' where unreadable."""
+    """Adds rating and reason read from a literal dictionary, its closing brace perhaps missing; 0 and '' where unreadable.
+
+    The plain shape, a whole rating and then a reason without quotes, escapes or line breaks, is read by a pattern; only other
+    texts reach Python, in batches.
+    """
 
     def read(t: object) -> tuple[int, str]:
+        if t is None:
+            return 0, ""
         try:
             value = ast.literal_eval(t if t.endswith("}") else t + "}")
             if isinstance(value, dict):
@@ -94,7 +104,10 @@ def rating_and_reason(df: DataFrame, text: str) -> DataFrame:
             yield pd.DataFrame([read(t) for t in s], columns=["rating", "reason"]).astype({"rating": "int64"})
 
     both = F.pandas_udf(run, "rating bigint, reason string")
-    return df.withColumn("_r", both(F.col(text))).withColumn("rating", F.col("_r.rating")).withColumn("reason", F.col("_r.reason")).drop("_r")
+    plain = F.col(text).rlike(_PLAIN)
+    rest = df.withColumn("_r", both(F.when(~plain, F.col(text))))
+    group = lambda k: F.regexp_extract(text, _PLAIN, k)
+    return rest.withColumn("rating", F.when(plain, group(1).cast("bigint")).otherwise(F.col("_r.rating"))).withColumn("reason", F.when(plain, F.concat(group(2), group(3))).otherwise(F.col("_r.reason"))).drop("_r")
 
 
 def average_label(a: Column, b: Column) -> Column:

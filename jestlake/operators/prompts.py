@@ -95,8 +95,9 @@ def random_pairs(spark: SparkSession, nouns: list[str], verbs: list[str], n: int
 
 
 def hashed_pairs(df: DataFrame, key: Column, nouns: list[str], verbs: list[str], seed: int = 42) -> DataFrame:
-    """Adds verb and noun to any number of rows by hashing a key: the distributed counterpart of random_pairs."""
-    pick = lambda xs, salt: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
+    """Adds verb and noun to any number of rows by hashing a key (md5 of key:seed:place): the distributed counterpart of random_pairs."""
+    number = lambda salt: F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(str(salt)))), 1, 8), 16, 10).cast("bigint")
+    pick = lambda xs, salt: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(number(salt), F.lit(len(xs))) + 1).cast("int"))
     return df.withColumn("verb", pick(verbs, 1)).withColumn("noun", pick(nouns, 2))
 
 

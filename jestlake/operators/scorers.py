@@ -93,10 +93,11 @@ def has_forbidden(t: Column) -> Column:
     return F.contains(t, F.lit("#")) | F.contains(t, F.lit("@")) | has_emoji(t)
 
 
-def formatting(t: Column, lang: Lang = "en") -> Column:
-    """-5 with forbidden signs, -1 with chatter, wide gaps or an invalid form, else 1."""
+def formatting(t: Column, lang: Lang = "en", valid: Column | None = None) -> Column:
+    """-5 with forbidden signs, -1 with chatter, wide gaps or an invalid form, else 1. valid: is_valid, if it is a column already."""
+    valid = is_valid(t, lang) if valid is None else valid
     chatter = by_language(lang, lambda code: has_any(t, L.CHATTER[code]))
-    return F.when(has_forbidden(t), -5.0).when(chatter | F.contains(t, F.lit("   ")), -1.0).when(~is_valid(t, lang), -1.0).otherwise(1.0)
+    return F.when(has_forbidden(t), -5.0).when(chatter | F.contains(t, F.lit("   ")), -1.0).when(~valid, -1.0).otherwise(1.0)
 
 
 def length_penalty(t: Column, lang: Lang = "en") -> Column:
@@ -125,9 +126,9 @@ def coherence(t: Column, lang: Lang = "en", weight: float = L.COHERENCE_WEIGHT)
     return by_language(lang, one)
 
 
-def gated_rater(score: Column, t: Column, lang: Lang = "en") -> Column:
+def gated_rater(score: Column, t: Column, lang: Lang = "en", valid: Column | None = None) -> Column:
     """A rater's score where the text is valid, else 0. For a rater UDF pass nulled(t): it then sees no invalid text."""
-    return F.when(is_valid(t, lang), F.coalesce(score, F.lit(0.0))).otherwise(0.0)
+    return F.when(is_valid(t, lang) if valid is None else valid, F.coalesce(score, F.lit(0.0))).otherwise(0.0)
 
 
 def nulled(t: Column, lang: Lang = "en") -> Column:

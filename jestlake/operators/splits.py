@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SUB = 256  # hash ranges a class is ranked in
+RANGE = 1_000_000  # rows of a hash range that is ranked by itself
 
 
 def ranked(df: DataFrame, by: list[str], order: Column, into: str) -> DataFrame:
     """Adds the row's rank from 1 and its group's size, in the order of a uniformly spread hex string.
 
-    Ranks come from counts of hash ranges plus ranks inside a range, so that a class of any size spreads over tasks.
+    Ranks come from counts of hash ranges plus ranks inside a range; ranges are so many that one holds about RANGE rows of
+    all, so that a class of any size spreads over tasks.
     """
-    keyed = df.withColumn("_o", order).withColumn("_s", F.substring("_o", 1, 2))
+    digits = max(2, math.ceil(math.log(max(1, df.count()) / RANGE, 16)))
+    keyed = df.withColumn("_o", order).withColumn("_s", F.substring("_o", 1, digits))
     sizes = keyed.groupBy(*by, "_s").agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by).orderBy("_s") if by else W.orderBy("_s")  # at most SUB rows a group
+    w = W.partitionBy(*by).orderBy("_s") if by else W.orderBy("_s")  # one row a range
     bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     total = sizes.groupBy(*by).agg(F.sum("_n").alias(f"{into}_of"))
     inside = F.row_number().over(W.partitionBy(*by, "_s").orderBy("_o"))
@@ -71,3 +75,15 @@ def tiled(spark, values: list[str], n: int) -> DataFrame:
 def distinct_sorted(df: DataFrame, label: str) -> DataFrame:
     """The distinct labels in order, as one array."""
     return df.select(label).distinct().agg(F.array_sort(F.collect_list(label)).alias("labels"))
+
+
+def shuffled(df: DataFrame, key: Column, seed: int = 42) -> DataFrame:
+    """Adds pos: the rows' places from 0 in a seeded random order, that of md5(key:seed); the same for any partitioning."""
+    order = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+    return ranked(df, [], order, "pos").drop("pos_of").withColumn("pos", F.col("pos") - 1)
+
+
+def sample_matching(df: DataFrame, condition: Column, key: Column, n: int = 1, seed: int = 42) -> DataFrame:
+    """n random rows of those that meet a condition: the first by md5(key:seed), kept per task before any shuffle."""
+    order = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+    return df.where(condition).orderBy(order).limit(n)

@@ -19,6 +19,7 @@ from ..operators import prompts as Q
 from ..operators import scorers as R
 from ..operators import splits as U
 from ..session import cut, shared_dir, table
+from ..sources import readers, sinks
 from ..streaming.diversity import stream_diversity as stream_rewards
 from . import pipelines
 
@@ -209,12 +210,12 @@ def composite_reward(spark, d):
 
 def training_reward(spark, d):
     rows = _scored(spark, d)
-    scores = {"rater": R.gated_rater(F.col("ev"), F.col("t"), F.col("lang")), "diversity": (F.col("id") % 7) / F.lit(8.0), **{n: F.col(n) for n in ("word_pair", "formatting", "length", "headline", "coherence")}}
+    scores = {"rater": R.gated_rater(F.col("ev"), F.col("t"), F.col("lang"), F.col("is_valid")), "diversity": (F.col("id") % 7) / F.lit(8.0), **{n: F.col(n) for n in ("word_pair", "formatting", "length", "headline", "coherence")}}
     return rows.select("id", C.training_reward(scores).alias("reward"), C.training_reward(scores, ("headline", "diversity")).alias("reward_ablated"))
 
 
 def _detail(spark, d):
-    gens = completions(spark, d).select("model", F.crc32(F.col("p").cast("binary")).alias("prompt_idx"), F.col("id").cast("int").alias("generation_idx"), F.col("p").alias("prompt"), F.col("t").alias("joke"), "lang")
+    gens = completions(spark, d).select("model", F.col("p").alias("prompt_idx"), F.col("id").alias("generation_idx"), F.col("p").alias("prompt"), F.col("t").alias("joke"), "lang")
     return C.detail_rows(gens, (F.length("joke") % 11).cast("double"), lang=F.col("lang"))
 
 
@@ -229,7 +230,9 @@ def model_summary(spark, d):
 
 
 def prompt_rows(spark, d):
-    return _detail(spark, d).where((F.col("model") == "quip_base") & (F.col("generation_idx") < 10)).select("model", "generation_idx", "joke", F.format_number("rater_score", 2).alias("score"))
+    wanted = table(spark, d, "rl_df_test").where("prompt_idx = 7").select("prompt")
+    rows = completions(spark, d).where("model = 'quip_base'").select("model", F.col("id").alias("generation_idx"), F.col("p").alias("prompt"), F.col("t").alias("joke"), (F.length("t") % 11).cast("double").alias("rater_score"))
+    return rows.join(wanted, "prompt", "left_semi").select("model", "generation_idx", "joke", F.format_number("rater_score", 2).alias("score"))
 
 
 def head_prompts(spark, d):
@@ -365,7 +368,7 @@ def stream_diversity(spark, d):
     source = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
     query = stream_rewards(source).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").select("run", "pos", "structure", _r(F.col("diversity")).alias("diversity"))
 
 
 def submission_table(spark, d):
@@ -375,10 +378,163 @@ def submission_table(spark, d):
 
 
 def flatten_generations(spark, d):
-    nested = completions(spark, d).groupBy("p").agg(F.sort_array(F.collect_list("t")).alias("jokes")).where("p <> ''")
+    nested = completions(spark, d).groupBy("p").agg(F.sort_array(F.collect_list("t")).alias("jokes"))
     return C.flatten_generations(nested)
 
 
+# Sources and sinks: a table is written to a fresh file of the format in the shared folder and read back.
+
+
+def _fresh(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _task_file(spark, d):
+    path = _fresh(spark, "tasks")
+    sinks.write_csv(table(spark, d, "task_a_zh").select("id", "word1", "word2", "headline"), path, sep="\t")
+    return path
+
+
+def _rated_files(spark, d):
+    jokes = table(spark, d, "combined_jokes_full")
+    paths = {code: _fresh(spark, f"rated-{code}") for code in L.LANGUAGES}
+    own = lambda code: jokes.where(F.col("lang") == code)
+    sinks.write_csv(own("en").select("joke", "labels"), paths["en"])
+    sinks.write_csv(own("zh").select("joke", (F.col("labels") + 0.4).alias("average_weighted")), paths["zh"], sep="\t")
+    sinks.write_csv(own("es").select("joke", F.col("labels").alias("score")), paths["es"])
+    return paths
+
+
+def source_task_tsv(spark, d):
+    return readers.task_tsv(spark, _task_file(spark, d))
+
+
+def source_rated_en(spark, d):
+    return readers.rated(spark, _rated_files(spark, d), "en")
+
+
+def source_rated_zh(spark, d):
+    return readers.rated(spark, _rated_files(spark, d), "zh")
+
+
+def source_rated_es(spark, d):
+    return readers.rated(spark, _rated_files(spark, d), "es")
+
+
+def source_rated_all(spark, d):
+    return readers.rated(spark, _rated_files(spark, d))
+
+
+def source_prompts(spark, d):
+    """Several files without a stored index: numbered without gaps in the order they were written."""
+    path = _fresh(spark, "prompts")
+    table(spark, d, "rl_df_test").repartitionByRange(3, "prompt_idx").sortWithinPartitions("prompt_idx").select("prompt").write.parquet(path)
+    return readers.prompts(spark, path)
+
+
+def source_text_lines(spark, d):
+    path = _fresh(spark, "lines")
+    table(spark, d, "task_a_zh").where("headline is not null and not contains(headline, chr(10)) and not contains(headline, chr(13))").select("headline").write.text(path)
+    return readers.text_lines(spark, path)
+
+
+def source_json_array(spark, d):
+    path = _fresh(spark, "titles")
+    titles = table(spark, d, "rl_df_test").select(F.struct(F.col("id").alias("title"), F.col("prompt").alias("body"), F.col("prompt_idx").alias("score")).alias("r"))
+    titles.agg(F.to_json(F.collect_list("r"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    return readers.json_array(spark, path)
+
+
+def source_text_column(spark, d):
+    path = _fresh(spark, "answers")
+    sinks.write_csv(table(spark, d, "submissions").select("id", "text"), path)
+    return readers.text_column(spark, path, "text")
+
+
+def source_text_union(spark, d):
+    first, second = _fresh(spark, "answers"), _fresh(spark, "jokes")
+    sinks.write_csv(table(spark, d, "submissions").select("id", "text"), first)
+    table(spark, d, "combined_jokes_full").select(F.col("joke").alias("text")).write.parquet(second)
+    return readers.text_union(spark, first, second)
+
+
+def source_complete_rows(spark, d):
+    path = _fresh(spark, "answers")
+    sinks.write_csv(table(spark, d, "submissions").select("id", "model", "text"), path)
+    return readers.complete_rows(spark, path)
+
+
+def source_without_index(spark, d):
+    path = _fresh(spark, "indexed")
+    table(spark, d, "rl_df_test").select("prompt", F.col("prompt_idx").alias("__index_level_0__")).write.parquet(path)
+    return readers.without_index(spark.read.parquet(path))
+
+
+def source_base_model(spark, d):
+    path = _fresh(spark, "adapter")
+    spark.createDataFrame([('{"r": 16, "base_model_name_or_path": "lab/small-model"}',)], "value string").coalesce(1).write.text(path)
+    return readers.base_model(spark, path)
+
+
+def sink_prompts(spark, d):
+    path = sinks.write_prompts(table(spark, d, "rl_df_test"), _fresh(spark, "out"), "test", "es")
+    return spark.read.parquet(path)
+
+
+def sink_csv(spark, d):
+    path = _fresh(spark, "csv")
+    sinks.write_csv(table(spark, d, "submissions").select("submission_id", "text", "model"), path, single=False)
+    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, schema="submission_id bigint, text string, model string")
+
+
+def sink_submissions(spark, d):
+    """The echo of the first three rows."""
+    rows = table(spark, d, "submissions").where("text is not null").groupBy("id").agg(F.max("text").alias("text"))
+    return sinks.write_submissions(rows, _fresh(spark, "submission"))
+
+
+def sink_markdown(spark, d):
+    return sinks.markdown_rows(label_counts(spark, d), "source")
+
+
+def sink_sample_table(spark, d):
+    scored = _scored(spark, d).withColumnsRenamed({"p": "prompt", "t": "generation"})
+    return sinks.sample_table(scored, ["word_pair", "formatting", "headline"], 20, "id")
+
+
+def load_split(spark, d):
+    return pipelines.load_split(spark, _rated_files(spark, d))
+
+
+def prepare_data(spark, d):
+    """Training prompts of hashed pairs and headlines, and the task file's test prompts, written and read again."""
+    pairs = hashed_pairs(spark, d).withColumnRenamed("p_partkey", "key")
+    headlines = table(spark, d, "task_a_zh").where("headline is not null").select(F.col("task_no").alias("key"), "headline")
+    paths = pipelines.prepare_data(spark, "zh", _task_file(spark, d), _fresh(spark, "prepared"), pairs, headlines)
+    parts = [spark.read.parquet(path).select(F.lit(split).alias("split_name"), "prompt") for split, path in sorted(paths.items())]
+    return parts[0].unionByName(parts[1])
+
+
+def shuffled(spark, d):
+    return U.shuffled(table(spark, d, "submissions").select("submission_id", "id"), F.col("submission_id")).select("submission_id", "id", "pos")
+
+
+def sample_matching(spark, d):
+    rows = table(spark, d, "combined_jokes_full").select("joke_id", "joke", "labels")
+    return U.sample_matching(rows, F.col("labels") == 8, F.col("joke_id"), 5)
+
+
+def training_loss(spark, d):
+    weights = [1.0, 0.5], [float(k % 3 + 1) for k in range(10)]
+    out = M.training_loss(_logits(spark, d), "head", "children", "label", *weights)
+    return out.select(*(_r(F.col(c)).alias(c) for c in out.columns))
+
+
+def parameter_ratio(spark, d):
+    out = M.parameter_ratio(table(spark, d, "part"), "p_size", F.col("p_partkey") % 3 == 0)
+    return out.select(F.col("trained").cast("bigint").alias("trained"), F.col("total").cast("bigint").alias("total"), _r(F.col("ratio")).alias("ratio"))
+
+
 _NOT_QUERIES = {"completions", "cut", "shared_dir", "table", "stream_rewards"}
 
 

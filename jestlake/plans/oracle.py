@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from ..functions import lexicon as L
 
 
@@ -159,6 +161,56 @@ def _lse(z: str) -> str:
     return f"(list_max({z}) + ln(list_sum(list_transform({z}, lambda x: exp(x - list_max({z}))))))"
 
 
+def _values(rows, columns: str) -> str:
+    return f"select * from (values {', '.join('(' + ', '.join(str(x) if isinstance(x, int) else q(x) for x in r) + ')' for r in rows)}) as v({columns})"
+
+
+def _drawn_pairs() -> str:
+    rng = random.Random(42)
+    rows = []
+    for i in range(500):
+        verb = rng.choice(["sing", "jump", "paint"])
+        rows.append((i, verb, rng.choice(["cat", "moon", "ladder", "moon"])))
+    return _values(rows, "pos, verb, noun")
+
+
+def _drawn_prompts() -> str:
+    rng = random.Random(42)
+    prompts = []
+    for _ in range(200):
+        verb = rng.choice(["sing", "jump"])
+        prompts.append(L.PAIR_PROMPTS["en"].replace("{a}", verb).replace("{b}", rng.choice(["cat", "moon"])))
+    prompts += [L.HEADLINE_PROMPTS["en"].replace("{h}", h) for h in ("Rain expected", "Cat elected mayor")]
+    rng.shuffle(prompts)
+    return _values(list(enumerate(prompts)), "pos, prompt")
+
+
+def _hashed(key: str, place: int, words: list[str]) -> str:
+    """A word by the first 32 bits of md5(key:42:place), summed up digit by digit."""
+    digest = f"md5({key}::varchar || ':42:{place}')"
+    number = " + ".join(f"(strpos('0123456789abcdef', substr({digest}, {i}, 1)) - 1) * {16 ** (8 - i)}" for i in range(1, 9))
+    return f"[{', '.join(map(q, words))}][(({number}) % {len(words)} + 1)::int]"
+
+
+HASHED_PAIRS = f"select p_partkey, {_hashed('p_partkey', 1, ['sing', 'jump'])} as verb, {_hashed('p_partkey', 2, ['cat', 'moon', 'ladder'])} as noun from part"
+RATED = "select joke, labels from combined_jokes_full where joke <> '' and labels is not null and lang in ({})"
+
+
+def _stream_diversity(batch: int) -> str:
+    """Each model is a run of its own: its rows in order, cut into calls."""
+    return f"""{C}, g as (select id, model as run, {case(structure)} as structure, row_number() over (order by id) - 1 as pos from c), k as (select run, structure, pos, row_number() over (partition by run order by pos) - 1 as i from g), r as (select *, i // {batch} as b from k),
+bs as (select distinct run, b from r), h as (select bs.run, bs.b, r.structure, count(*) as h from bs join r on r.run = bs.run and r.i between bs.b * {batch} - 30 and bs.b * {batch} - 1 group by 1, 2, 3), w as (select run, b, sum(h) as len, count(*) as kinds from h group by 1, 2)
+select r.run, r.pos, r.structure, round(1.0::double / greatest(coalesce(w.kinds, 0), 1) - (coalesce(h.h, 0) + row_number() over (partition by r.run, r.b, r.structure order by r.i) - 1)::double / (greatest(coalesce(w.len, 0), 1) + r.i - r.b * {batch}), 6) as diversity
+from r left join h on h.run = r.run and h.b = r.b and h.structure = r.structure left join w on w.run = r.run and w.b = r.b"""
+
+
+def _load_split() -> str:
+    rated = RATED.format("'en', 'zh', 'es'")
+    key = "joke || '|' || labels::varchar"
+    return f"""with f as ({rated}), a as (select joke, labels, row_number() over (partition by labels order by md5({key} || ':42')) <= floor(count(*) over (partition by labels) * 0.2::double + 0.5::double) as held from f)
+select joke, labels, case when not held then 'train' when row_number() over (partition by held order by md5({key} || ':43')) <= count(*) over (partition by held) // 2 then 'test' else 'val' end as split_name from a"""
+
+
 def oracle_sql() -> dict[str, str]:
     struct_cols = ", ".join(f"round(max(case when structure = {q(s)} then share end), 6) as structure_{s.replace('-', '_')}" for s in L.STRUCTURES)
     shares = f"{C}, tg as (select model, {case(structure)} as structure from c), sh as (select model, structure, count(*)::double / sum(count(*)) over (partition by model) as share from tg group by 1, 2)"
@@ -211,7 +263,7 @@ when regexp_matches(lower(t), {q(pat['knock-knock'])}) then 'knock-knock' when {
         "assistant_suffix": f"""{C}, k as (select id, t, p, 'question' || {m1} || t || {m1} || '  ' || t || chr(10) as a, case when id % 3 = 0 then t else 'q' || {m2} || t || {m2} || 'rest' end as b from c)
 select id, {strip(f'string_split(a, {m1})[-1]')} as last, string_split(b, {m2})[2] as between, {strip("substring(p || ' ' || t, length(p) + 1)")} as answer from k""",
         "display_text": f"{C} select id, case when length(t) > 100 then left(t, 100) || '...' else t end as short, replace(t, '“', '') as caption, model as name, '/a:b/' || id as path from c",
-        "title_and_body": f"""{C}, k as (select substring(p, 1, 60) || ' ' || substring(t, 1, 60) as t, id % 50 - 5 as s from c), f as (select t, s from k where {WORDS} between 5 and 24 and s > 0) select t as joke, round(s::double / (select max(s) from f) * 1000, 6) as score from f""",
+        "title_and_body": f"""{C}, k as (select p || ' ' || t as t, id % 50 - 5 as s from c), f as (select t, s from k where {WORDS} between 5 and 24 and s > 0) select t as joke, round(s::double / (select max(s) from f) * 1000, 6) as score from f""",
         "max_normalise": "select event_id, round(value / (select max(value) from events) * 1000, 6) as score from events",
         "average_label": "select eval_id, case when floor((llama_score + gpt_score) / 2.0)::int = -1 then 0 else floor((llama_score + gpt_score) / 2.0)::int end as label from data_llm_eval",
         "distinct_1": DISTINCT[1],
@@ -219,11 +271,11 @@ select id, {strip(f'string_split(a, {m1})[-1]')} as last, string_split(b, {m2})[
         "composite_reward": f"{SCORED} select id, round({COMPOSITE}, 6) as composite from sc",
         "training_reward": f"""{SCORED}, k as (select id, {r3('case when valid then ev else 0.0 end')} as a, {r3('(id % 7) / 8.0')} as dv, {r3('word_pair')} as w, {r3('formatting')} as f, {r3('length')} as l, {r3('headline')} as h, {r3('coherence')} as co from sc)
 select id, {half_even('a + 1.5 * dv + 2.0 * w + 0.5 * f + 0.5 * l + 2.0 * h + 0.5 * co')} as reward, {half_even('a + 2.0 * w + 0.5 * f + 0.5 * l + 0.5 * co')} as reward_ablated from k""",
-        "detail_rows": f"""{SCORED} select model, id::int as generation_idx, p as prompt, t as joke, ev as rater_score, word_pair::double as word_pair_score, formatting::double as formatting_score, round(length, 6) + 0.0 as length_score, round(coherence, 6) + 0.0 as coherence_score, valid as is_valid, ({WORDS})::int as word_count, structure from sc""",
+        "detail_rows": f"""{SCORED} select model, id as generation_idx, p as prompt, t as joke, ev as rater_score, word_pair::double as word_pair_score, formatting::double as formatting_score, round(length, 6) + 0.0 as length_score, round(coherence, 6) + 0.0 as coherence_score, valid as is_valid, ({WORDS})::int as word_count, structure from sc""",
         "model_summary": f"""{SCORED}, {ENTROPY.split(', en as')[0]}, pv as (select model, {struct_cols} from sh group by 1), {pooled}
 select b.*, round(coalesce(d1.d, 0), 6) as distinct_1, round(coalesce(d2.d, 0), 6) as distinct_2, pv.* exclude (model) from (select model, count(distinct p) as n_prompts, count(*) as n_jokes, round(avg(ev), 6) as rater_mean, round(stddev_samp(ev), 6) as rater_std, round(median(ev), 6) as rater_median, round(avg(valid::int), 6) as validity_rate,
 round(avg(word_pair), 6) as word_pair_mean, round(avg(formatting), 6) as formatting_mean, round(avg(length), 6) as length_mean, round(avg(coherence), 6) as coherence_mean, round(avg({WORDS}), 6) as avg_word_count, count(distinct structure) as n_unique_structures from sc group by 1) b left join d1 using (model) left join d2 using (model) left join pv using (model)""",
-        "prompt_rows": f"{C} select model, id::int as generation_idx, t as joke, format('{{:.2f}}', {EV}) as score from c where model = 'quip_base' and id < 10",
+        "prompt_rows": f"{C} select model, id as generation_idx, t as joke, format('{{:.2f}}', {EV}) as score from c where model = 'quip_base' and p = (select prompt from rl_df_test where prompt_idx = 7)",
         "head_prompts": "select prompt_idx, prompt from rl_df_test order by prompt_idx limit 8",
         "comparison_summary": f"{comparison} select language, model, round(mean_ev_reward, 6) as mean_ev_reward, round(mean_ev_reward_valid_only, 6) as mean_ev_reward_valid_only, round(mean_composite_reward, 6) as mean_composite_reward, round(std_composite_reward, 6) as std_composite_reward, round(validity_rate, 6) as validity_rate, num_samples from cm",
         "base_vs_trained": f"{comparison} select b.language, round(b.mean_ev_reward - a.mean_ev_reward, 6) as delta_mean_ev_reward, round(b.mean_composite_reward - a.mean_composite_reward, 6) as delta_mean_composite_reward, round(b.validity_rate - a.validity_rate, 6) as delta_validity_rate from cm a join cm b using (language) where a.model = 'quip_base' and b.model = 'quip_tuned'",
@@ -246,8 +298,39 @@ select 'binary' as head, class, n as count, case when n > 0 then round((select s
         "union_label10": "select joke, labels from combined_jokes_full where joke is not null and labels is not null union all select headline, 10 from task_a_zh where headline is not null",
         "limit_then_filter": "select prompt_idx, prompt from (select prompt_idx, prompt from rl_df_test order by prompt_idx limit 150) where coalesce(prompt, '') <> ''",
         "tiled_literals": "select k as pos, ['rain', 'sun', 'snow', 'fog', 'wind'][(k % 5 + 1)::int] as value from range(123) r(k)",
+        "random_pairs": _drawn_pairs(),
+        "training_prompts": _drawn_prompts(),
+        "hashed_pairs": HASHED_PAIRS,
+        "stream_diversity": _stream_diversity(8),
+        "source_task_tsv": "select id, nullif(word1, '') as word1, nullif(word2, '') as word2, nullif(headline, '') as headline from task_a_zh",
+        **{f"source_rated_{code}": RATED.format(q(code)) for code in L.LANGUAGES},
+        "source_rated_all": RATED.format("'en', 'zh', 'es'"),
+        "source_prompts": "select row_number() over (order by prompt_idx) - 1 as prompt_idx, prompt from rl_df_test",
+        "source_text_lines": "select headline as joke, 10 as labels from task_a_zh where headline is not null and not contains(headline, chr(10)) and not contains(headline, chr(13))",
+        "source_json_array": "select id as title, prompt as body, prompt_idx as score from rl_df_test",
+        "source_text_column": "select nullif(text, '') as text from submissions",
+        "source_text_union": "select nullif(text, '') as text from submissions union all select joke from combined_jokes_full",
+        "source_complete_rows": "select id, model, text from submissions where id <> '' and model <> '' and text <> ''",
+        "source_without_index": "select prompt from rl_df_test",
+        "source_base_model": "select 'lab/small-model' as base_model",
+        "sink_prompts": "select prompt from rl_df_test",
+        "sink_csv": "select submission_id, nullif(text, '') as text, nullif(model, '') as model from submissions",
+        "sink_submissions": "select id, left(text, 100) as text from (select id, max(text) as text from submissions where text is not null group by 1) order by id limit 3",
+        "sink_markdown": """with s as (select source, count(*) as n, count(labels) as labelled, count(*) filter (labels > 5) as good from combined_jokes_full group by 1)
+select -2::bigint as pos, '| source | n | labelled | good |' as line union all select -1, '| --- | --- | --- | --- |' union all
+select row_number() over (order by source nulls first) - 1, '| ' || replace(coalesce(source, ''), '|', '\\|') || ' | ' || n || ' | ' || labelled || ' | ' || good || ' |' from s""",
+        "sink_sample_table": f"{SCORED} select id, p as prompt, t as generation, coalesce(word_pair, 0)::double as word_pair, formatting::double as formatting, coalesce(headline, 0)::double as headline, (coalesce(word_pair, 0) + formatting + coalesce(headline, 0))::double as total from sc order by id limit 20",
+        "load_split": _load_split(),
+        "prepare_data": f"""with h as ({HASHED_PAIRS}) select 'train' as split_name, {_fill(L.PAIR_PROMPTS['zh'], a='verb', b='noun')} as prompt from h union all select 'train', {_fill(L.HEADLINE_PROMPTS['zh'], h='headline')} from task_a_zh where headline is not null
+union all select 'test', x from (select {_router("coalesce(nullif(word1, ''), 'nan')", "coalesce(nullif(word2, ''), 'nan')", "coalesce(nullif(headline, ''), 'nan')")} as x from task_a_zh) where x is not null""",
+        "shuffled": "select submission_id, id, row_number() over (order by md5(submission_id::varchar || ':42')) - 1 as pos from submissions",
+        "sample_matching": "select joke_id, joke, labels from combined_jokes_full where labels = 8 order by md5(joke_id::varchar || ':42') limit 5",
+        "training_loss": f"""{LOGITS}, k as (select label as y, list_transform(hd, lambda x: x - {_lse('hd')}) as hl, list_transform(ch, lambda x: x - {_lse('ch')}) as cl, {h} as z from l where label is not null),
+w as (select y, case when y <> 0 then 0.5::double else 1.0::double end as hw, hl[case when y <> 0 then 2 else 1 end] as hp, case when y <> 0 then ((y - 1) % 3 + 1)::double end as cw, case when y <> 0 then cl[y] end as cp, list_sum(list_transform(z, lambda x, i: exp(x) * (i - 1))) as e from k),
+s as (select -sum(hw * hp) / sum(hw) as a, coalesce(-sum(cw * cp) / sum(cw), 0.0) as b, avg((e - y) * (e - y)) as c from w) select round(a + b + 0.1::double * c, 6) as loss, round(a, 6) as head_loss, round(b, 6) as child_loss, round(c, 6) as squared_error from s""",
+        "parameter_ratio": "select sum(p_size) filter (p_partkey % 3 = 0)::bigint as trained, sum(p_size)::bigint as total, round(sum(p_size) filter (p_partkey % 3 = 0)::double / sum(p_size), 6) as ratio from part",
         "structure_diversity": _diversity(8),
         "structure_diversity_wide": _diversity(40),
         "submission_table": f"""with raw as (select id, max(text) as raw from submissions where text is not null group by 1), {ctes} select t.id, coalesce(s.x, '') as text from task_a_zh t left join {last} s on s.id = t.id""",
-        "flatten_generations": f"{C}, k as (select p, t, row_number() over (partition by p order by t) - 1 as generation_idx from c where p <> '') select p, generation_idx::int as generation_idx, t as joke from k",
+        "flatten_generations": f"{C}, k as (select p, t, row_number() over (partition by p order by t) - 1 as generation_idx from c) select p, generation_idx::int as generation_idx, t as joke from k",
     }

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import schemas as S
 
+# A record may hold line breaks, so a delimited file is one task; files of one record a line can be read by lines instead.
 _CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
@@ -15,22 +17,22 @@ def task_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.TASK).csv(path, sep="\t", header=True, quote='"', escape='"')
 
 
-def _rated(spark: SparkSession, path: str, sep: str, text: str, label: str) -> DataFrame:
-    raw = spark.read.options(**_CSV).option("sep", sep).csv(path)
+def _rated(spark: SparkSession, path: str, sep: str, text: str, label: str, by_line: bool = False) -> DataFrame:
+    raw = spark.read.options(**_CSV).option("multiLine", not by_line).option("sep", sep).csv(path)
     # labels truncate towards zero; unreadable ones are dropped like missing ones
     return raw.select(F.col(text).alias("joke"), F.col(label).try_cast("double").try_cast("int").alias("labels")).dropna()
 
 
-def rated_en(spark: SparkSession, path: str) -> DataFrame:
-    return _rated(spark, path, ",", "joke", "labels")
+def rated_en(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    return _rated(spark, path, ",", "joke", "labels", by_line)
 
 
-def rated_zh(spark: SparkSession, path: str) -> DataFrame:
-    return _rated(spark, path, "\t", "joke", "average_weighted")
+def rated_zh(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    return _rated(spark, path, "\t", "joke", "average_weighted", by_line)
 
 
-def rated_es(spark: SparkSession, path: str) -> DataFrame:
-    return _rated(spark, path, ",", "joke", "score")
+def rated_es(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    return _rated(spark, path, ",", "joke", "score", by_line)
 
 
 def rated(spark: SparkSession, paths: dict[str, str], language: str = "all") -> DataFrame:
@@ -47,14 +49,15 @@ def rated(spark: SparkSession, paths: dict[str, str], language: str = "all") ->
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
-    """(prompt_idx, prompt) of a parquet file of prompts, numbered in file order.
-
-    Numbers come from the files' own row order; without a stored index they hold for a single file.
-    """
+    """(prompt_idx, prompt) of a parquet file or folder of prompts, numbered from 0 without gaps: files by name, rows as stored."""
     df = spark.read.parquet(path)
     if "prompt_idx" in df.columns:
         return df.select("prompt_idx", "prompt")
-    return df.select(F.monotonically_increasing_id().alias("prompt_idx"), "prompt")
+    rows = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), "prompt")
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))  # one row a file
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_file", before.alias("_before"))
+    return rows.join(starts, "_file").select((F.col("_before") + F.col("_row")).alias("prompt_idx"), "prompt")
 
 
 def text_lines(spark: SparkSession, path: str, label: int = 10) -> DataFrame:
@@ -82,6 +85,12 @@ def complete_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**_CSV).csv(path).dropna(how="any")
 
 
+def base_model(spark: SparkSession, path: str) -> DataFrame:
+    """(base_model): the model that an adapter's configuration names; null where it names none."""
+    held = spark.read.text(path, wholetext=True)
+    return held.select(F.get_json_object("value", "$.base_model_name_or_path").alias("base_model"))
+
+
 def without_index(df: DataFrame) -> DataFrame:
     """Drops the leftover index column of a pandas file, if there."""
     return df.drop("__index_level_0__")

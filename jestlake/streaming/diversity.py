@@ -33,13 +33,22 @@ def score_calls(tags: list[str], history: list[str], batch: int) -> tuple[list[f
 
 
 def stream_diversity(rows: DataFrame, batch: int = 8) -> DataFrame:
-    """rows: a stream of (run string, pos bigint, structure string). Whole calls should arrive together."""
+    """rows: a stream of (run string, pos bigint, structure string). Whole calls should arrive together.
+
+    A row without a structure resets its run: it gives no row, and the history begins anew behind it.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(parts)).sort_values("pos", kind="stable")
         history = list(state.get[0]) if state.exists else []
-        rewards, history = score_calls(frame["structure"].tolist(), history, batch)
+        resets = frame["structure"].isna()
+        for begun, part in frame.groupby(resets.cumsum()):
+            if begun:
+                history, part = [], part.iloc[1:] if resets.loc[part.index[0]] else part
+            if part.empty:
+                continue
+            rewards, history = score_calls(part["structure"].tolist(), history, batch)
+            yield pd.DataFrame({"run": key[0], "pos": part["pos"].to_numpy(), "structure": part["structure"].to_numpy(), "diversity": pd.Series(rewards, dtype="float64")})
         state.update((history,))
-        yield pd.DataFrame({"run": key[0], "pos": frame["pos"].to_numpy(), "structure": frame["structure"].to_numpy(), "diversity": rewards})
 
     return rows.groupBy("run").applyInPandasWithState(step, OUTPUT, "history array<string>", "append", GroupStateTimeout.NoTimeout)

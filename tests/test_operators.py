@@ -1,9 +1,11 @@
 """Parsing, prompts, metrics, arrays, diversity, splits, sources and streaming on small tables."""
 
+import ast
+import hashlib
 import math
 import os
 import random
-from collections import deque
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,27 +101,37 @@ def test_single_row_deviation_is_null(spark):
     assert metrics.gated_label_summary(df, ["model"]).first()["std_reward"] is None
 
 
+def defined_diversity(tags, batch):
+    """By the definition: one over the kinds of the last 30 tags before the call, less the tag's share of those and the call so far."""
+    out = []
+    for place, tag in enumerate(tags):
+        begin = place - place % batch
+        past, call = tags[max(0, begin - diversity.HISTORY) : begin], tags[begin:place]
+        out.append(1 / max(1, len(set(past))) - (past + call).count(tag) / (max(1, len(past)) + len(call)))
+    return out
+
+
 @pytest.mark.parametrize("batch", [1, 4, 8, 30, 40, 64])
-def test_diversity_against_simulation(spark, batch):
+def test_diversity_by_its_definition(spark, batch):
     rng = random.Random(batch)
     tags = [rng.choice("aabcd") for _ in range(150)]
-    history, want = deque(maxlen=30), []
-    for start in range(0, len(tags), batch):
-        freq = {}
-        for s in history:
-            freq[s] = freq.get(s, 0) + 1
-        total, target = max(len(history), 1), 1.0 / max(len(freq), 1)
-        call = tags[start : start + batch]
-        for i, s in enumerate(call):
-            want.append(target - freq.get(s, 0) / (total + i))
-            freq[s] = freq.get(s, 0) + 1
-        history.extend(call)
+    want = defined_diversity(tags, batch)
     df = spark.createDataFrame([(i * 3, s) for i, s in enumerate(tags)], "id bigint, structure string")
     got = {r["pos"]: r["diversity"] for r in diversity.diversity_reward(diversity.with_position(df, "id"), batch=batch).collect()}
     assert [got[i] for i in range(len(tags))] == pytest.approx(want)
     assert score_calls(tags, [], batch)[0] == pytest.approx(want)
 
 
+def test_stream_reset(spark, tmp_path):
+    tags = list("abacab") + [None] + list("aabbac")
+    schema, src = "run string, pos bigint, structure string", str(tmp_path / "in")
+    spark.createDataFrame([("r", i, t) for i, t in enumerate(tags)], schema).coalesce(1).write.parquet(src)
+    q = stream_diversity(spark.readStream.schema(schema).parquet(src), 4).writeStream.format("memory").queryName("reset").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["pos"]: r["diversity"] for r in spark.table("reset").collect()}
+    assert [got[i] for i in range(6)] == pytest.approx(defined_diversity(tags[:6], 4)) and [got[i] for i in range(7, 13)] == pytest.approx(defined_diversity(tags[7:], 4)) and 6 not in got
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     rows = [("r1", i, rng.choice("abc")) for i in range(64)]
@@ -182,6 +194,100 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.text_lines(spark, str(t)).count() == 2
 
 
+def test_more_readers(spark, tmp_path):
+    csv = tmp_path / "a.csv"
+    csv.write_text('id,text\n1,"two\nlines, ""quoted"""\n2,\n3, spaced \n', encoding="utf-8")
+    assert [r[0] for r in readers.text_column(spark, str(csv), "text").collect()] == ['two\nlines, "quoted"', None, " spaced "]
+    assert readers.complete_rows(spark, str(csv)).count() == 2
+    spark.createDataFrame([("x", 0), ("x", 1)], "text string, __index_level_0__ bigint").write.parquet(str(tmp_path / "p"))
+    held = spark.read.parquet(str(tmp_path / "p"))
+    assert readers.text_union(spark, str(csv), str(tmp_path / "p")).count() == 5
+    assert readers.without_index(held).columns == ["text"] and readers.without_index(held.select("text")).columns == ["text"]
+    parts = tmp_path / "parts"
+    spark.createDataFrame([(i, f"prompt {i}") for i in range(50)], "i int, prompt string").repartitionByRange(5, "i").sortWithinPartitions("i").select("prompt").write.parquet(str(parts))
+    assert {(r["prompt_idx"], r["prompt"]) for r in readers.prompts(spark, str(parts)).collect()} == {(i, f"prompt {i}") for i in range(50)}
+    adapter = tmp_path / "adapter_config.json"
+    adapter.write_text('{\n "base_model_name_or_path": "lab/m",\n "r": 8}', encoding="utf-8")
+    assert readers.base_model(spark, str(adapter)).first()[0] == "lab/m"
+
+
+def test_csv_round_trip(spark, tmp_path):
+    texts = [" lead", "trail ", 'q "x", y', "a\nb", "tab\there", "汤"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    assert sorted(r[0] for r in readers.text_column(spark, str(tmp_path / "csv"), "text").collect()) == sorted(texts)
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([("b", 2, None), ("a|c", 1, 0.5)], "name string, n int, share double")
+    assert sinks.markdown_table(df, "n") == "| name | n | share |\n| --- | --- | --- |\n| a\\|c | 1 | 0.5 |\n| b | 2 |  |"
+    assert sinks.markdown_table(df.where("false"), "n").count("\n") == 1
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [5.0] * 7 + [1.0], [None], [float(i % 13) for i in range(500)], [i / 7 for i in range(1001)]])
+def test_exact_median(spark, values):
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 9.0)], "g string, v double")
+    got = {r["g"]: r["m"] for r in metrics.exact_median(df, ["g"], "v", "m").collect()}
+    held = [v for v in values if v is not None]
+    assert got == {"b": 9.0} | ({"a": statistics.median(held)} if held else {})
+
+
+def test_training_loss(spark):
+    rows = [(0, [2.0, -1.0], [0.1 * k for k in range(10)]), (3, [0.5, 0.5], [0.0] * 10), (10, [-1.0, 1.0], [float(k) for k in range(10)]), (None, [0.0, 0.0], [0.0] * 10)]
+    df = spark.createDataFrame(rows, "y int, h array<double>, c array<double>")
+    soft = lambda z: [math.exp(x) / sum(map(math.exp, z)) for x in z]
+    hw, cw = [1.0, 2.0], [float(k + 1) for k in range(10)]
+    held = [r for r in rows if r[0] is not None]
+    head = sum(hw[y > 0] * -math.log(soft(h)[y > 0]) for y, h, _ in held) / sum(hw[y > 0] for y, _, _ in held)
+    child = sum(cw[y - 1] * -math.log(soft(c)[y - 1]) for y, _, c in held if y) / sum(cw[y - 1] for y, _, _ in held if y)
+    ev = [sum((k + 1) * soft(h)[1] * p for k, p in enumerate(soft(c))) for _, h, c in held]
+    square = sum((e - y) ** 2 for e, (y, _, _) in zip(ev, held)) / 3
+    got = metrics.training_loss(df, "h", "c", "y", hw, cw).first()
+    assert tuple(got) == pytest.approx((head + child + 0.1 * square, head, child, square))
+    assert metrics.training_loss(df.where("y = 0"), "h", "c", "y", hw, cw).first()["child_loss"] == 0.0
+
+
+@pytest.mark.parametrize("per_range", [1, 50, 10**6])
+def test_ranks_do_not_depend_on_ranges(spark, monkeypatch, per_range):
+    monkeypatch.setattr(splits, "RANGE", per_range)
+    df = spark.createDataFrame([(i, i % 2) for i in range(300)], "k bigint, g int")
+    got = [r["k"] for r in splits.shuffled(df, F.col("k")).orderBy("pos").collect()]
+    assert got == sorted(range(300), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest()) and splits.shuffled(df.where("false"), F.col("k")).count() == 0
+    one = splits.sample_matching(df, F.col("g") == 1, F.col("k"), 3).collect()
+    assert [r["k"] for r in one] == [k for k in got if k % 2][:3]
+
+
+def test_rating_patterns_agree_with_the_parser(spark):
+    cases = ["{'rating': 7, 'reason': 'ok'}", "{'rating': 07, 'reason': 'x'}", '{"rating": 0, "reason": ""', "{'rating\": 1, 'reason': 'x'}", "{'rating': 5, 'reason': 'it\\'s'}", "{'rating': 5, 'reason': \"it's\"}", "{'rating': -3, 'reason': 'n'}", "{'rating': 4.9, 'reason': 'n'}", "{'reason': 'r', 'rating': 2}", "{'rating': 1, 'reason': 'a'}}", "{'rating': 1, 'reason': 'a\nb'}", "{'rating': 123456789012, 'reason': 'a'}", " {'rating': 1, 'reason': 'a'}"]
+
+    def plainly(t):
+        try:
+            value = ast.literal_eval(t if t.endswith("}") else t + "}")
+            return (int(value.get("rating", 0)), str(value.get("reason", ""))) if isinstance(value, dict) else (0, "")
+        except Exception:
+            return 0, ""
+
+    df = spark.createDataFrame([(c,) for c in cases], "t string").coalesce(1)
+    assert [(r["rating"], r["reason"]) for r in parsing.rating_and_reason(df, "t").collect()] == [plainly(c) for c in cases]
+
+
+def test_prepare_and_load(spark, tmp_path):
+    tasks = tmp_path / "t.tsv"
+    tasks.write_text("id\tword1\tword2\theadline\n1\tlamp\tsoup\t-\n2\t-\t-\tRain\n3\t-\t-\t-\n", encoding="utf-8")
+    pairs = spark.createDataFrame([(i, "fall", f"lamp{i}") for i in range(20)], "key int, verb string, noun string")
+    heads = spark.createDataFrame([(1, "Soup"), (2, "Fog")], "key int, headline string")
+    paths = pipelines.prepare_data(spark, "en", str(tasks), str(tmp_path), pairs, heads)
+    assert paths["train"].endswith("rl_df_train.parquet") and paths["test"].endswith("rl_df_test.parquet")
+    train, test = ([r["prompt"] for r in readers.prompts(spark, paths[s]).orderBy("prompt_idx").collect()] for s in ("train", "test"))
+    assert len(train) == 22 and sum("'Soup'" in p for p in train) == 1 and train != sorted(train) and len(test) == 2
+    with pytest.raises(ValueError):
+        pipelines.prepare_data(spark, "fr", str(tasks), str(tmp_path), pairs, heads)
+    csv = tmp_path / "en.csv"
+    csv.write_text("joke,labels\n" + "".join(f"joke {i},{i % 2}\n" for i in range(100)), encoding="utf-8")
+    n = {r["split_name"]: r["count"] for r in pipelines.load_split(spark, {"en": str(csv)}, "en").groupBy("split_name").count().collect()}
+    assert n == {"train": 80, "test": 10, "val": 10}
+
+
 def test_title_and_body(spark):
     df = spark.createDataFrame([("a b", "c d e", 10), ("a", "b", 50), ("a b c", "d e f", 5), (None, "x y z u v", 9), ("q w e", "r t y", 0)], "title string, body string, score int")
     assert {r["joke"]: r["score"] for r in parsing.title_and_body(df).collect()} == {"a b c d e": 1000.0, "a b c d e f": 500.0}
