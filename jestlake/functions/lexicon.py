@@ -90,3 +90,18 @@ _EMOJI = """A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23
 1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A 1F93C-1F945 1F947-1F9FF 1FA70-1FA7C 1FA80-1FA88 1FA90-1FABD 1FABF-1FAC5 1FACE-1FADB 1FAE0-1FAE8
 1FAF0-1FAF8"""
 EMOJI_CLASS = "[" + "".join("-".join(rf"\x{{{cp}}}" for cp in part.split("-")) for part in _EMOJI.split()) + "]"
+
+
+def _coarse(gap: int = 0x200) -> str:
+    """A class of few ranges that holds all of the above: neighbours that are no more than gap apart are joined."""
+    spans = [[int(cp, 16) for cp in (part.split("-") * 2)[:2]] for part in _EMOJI.split()]
+    joined = [spans[0]]
+    for low, high in spans[1:]:
+        if low - joined[-1][1] <= gap:
+            joined[-1][1] = high
+        else:
+            joined.append([low, high])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in joined) + "]"
+
+
+EMOJI_COARSE = _coarse()  # tried first: a class of many ranges is slow on every character

@@ -86,7 +86,7 @@ def headline(t: Column, prompt: Column, lang: Lang = "en") -> Column:
 
 
 def has_emoji(t: Column) -> Column:
-    return t.rlike(L.EMOJI_CLASS)
+    return t.rlike(L.EMOJI_COARSE) & t.rlike(L.EMOJI_CLASS)
 
 
 def has_forbidden(t: Column) -> Column:

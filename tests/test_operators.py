@@ -10,6 +10,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from jestlake import __main__ as cli
 from jestlake.functions import arrays as A
 from jestlake.operators import composite, diversity, metrics, parsing, prompts, splits
 from jestlake.plans import catalogue, pipelines
@@ -288,6 +289,25 @@ def test_prepare_and_load(spark, tmp_path):
     assert n == {"train": 80, "test": 10, "val": 10}
 
 
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "t.tsv").write_text("id\tword1\tword2\theadline\n1\tlamp\tsoup\t-\n2\t-\t-\tRain\n", encoding="utf-8")
+    for name, lines in (("nouns", "lamp\nsoup\n"), ("verbs", "fall\n"), ("heads", "Rain\nFog\nMist\n")):
+        (tmp_path / name).write_text(lines, encoding="utf-8")
+    cli.main(["prepare", "--tasks", str(tmp_path / "t.tsv"), "--nouns", str(tmp_path / "nouns"), "--verbs", str(tmp_path / "verbs"), "--headlines", str(tmp_path / "heads"), "--word-pairs", "7", "--max-headlines", "2", "--output", str(tmp_path)])
+    assert "train: 9 prompts" in capsys.readouterr().out
+    gens = [(m, i, "prompt", f"The lamp {i} fell into the soup.", float(i), "en", str(i), f"Joke: lamp {i}") for m in ("base", "trained") for i in range(4)]
+    spark.createDataFrame(gens, "model string, prompt_idx int, prompt string, joke string, ev double, language string, id string, raw string").write.parquet(str(tmp_path / "g"))
+    for command in (["evaluate"], ["compare"], ["evaluate", "--num-samples", "2"]):
+        cli.main([*command, "--generations", str(tmp_path / "g"), "--output", str(tmp_path / "o")])
+        assert "| --- |" in capsys.readouterr().out
+    assert spark.read.csv(str(tmp_path / "o" / "detail"), header=True).count() == 4
+    cli.main(["submit", "--tasks", str(tmp_path / "t.tsv"), "--generations", str(tmp_path / "g"), "--output", str(tmp_path / "s")])
+    assert "1 lamp 1" in capsys.readouterr().out
+    (tmp_path / "en.csv").write_text("joke,labels\n" + "".join(f"joke {i},1\n" for i in range(20)), encoding="utf-8")
+    cli.main(["split", "--language", "en", "--en", str(tmp_path / "en.csv"), "--output", str(tmp_path / "sp")])
+    assert "| train | 16 |" in capsys.readouterr().out
+
+
 def test_title_and_body(spark):
     df = spark.createDataFrame([("a b", "c d e", 10), ("a", "b", 50), ("a b c", "d e f", 5), (None, "x y z u v", 9), ("q w e", "r t y", 0)], "title string, body string, score int")
     assert {r["joke"]: r["score"] for r in parsing.title_and_body(df).collect()} == {"a b c d e": 1000.0, "a b c d e f": 500.0}
