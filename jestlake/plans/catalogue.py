@@ -18,7 +18,7 @@ from ..operators import parsing as P
 from ..operators import prompts as Q
 from ..operators import scorers as R
 from ..operators import splits as U
-from ..session import cut, shared_dir, table
+from ..session import cut, shared_dir, spread, table
 from ..sources import readers, sinks
 from ..streaming.diversity import stream_diversity as stream_rewards
 from . import pipelines
@@ -26,7 +26,7 @@ from . import pipelines
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, t, p, lang, model): answers with their prompts ('' where the prompt is missing)."""
     asked = table(spark, sf_dir, "rl_df_test").select("id", F.col("prompt").alias("_p"))
-    answers = table(spark, sf_dir, "submissions").where("text is not null")
+    answers = spread(table(spark, sf_dir, "submissions").select("submission_id", "id", "text", "model").where("text is not null"))
     return answers.join(asked, "id", "left").select(F.col("submission_id").alias("id"), F.col("text").alias("t"), F.coalesce("_p", F.lit("")).alias("p"), F.split_part("id", F.lit("_"), F.lit(1)).alias("lang"), F.col("model"))
 
 
@@ -535,7 +535,7 @@ def parameter_ratio(spark, d):
     return out.select(F.col("trained").cast("bigint").alias("trained"), F.col("total").cast("bigint").alias("total"), _r(F.col("ratio")).alias("ratio"))
 
 
-_NOT_QUERIES = {"completions", "cut", "shared_dir", "table", "stream_rewards"}
+_NOT_QUERIES = {"completions", "cut", "shared_dir", "spread", "table", "stream_rewards"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

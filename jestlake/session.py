@@ -35,6 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a scan has fewer tasks than there are cores; else the scan as it is, without a shuffle.
+
+    For work that takes far longer a row than moving it; results don't depend on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: spark.checkpoint.dir of the session, or its checkpoint folder. ValueError where there is none.
 
