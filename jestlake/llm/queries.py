@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import bpe, consensus, langid, mixing, neardup, overlap, pairs, sentences, truncation, unify
 
 TOKENIZERS = "/opt/tokenizers"
@@ -26,23 +26,23 @@ def p1_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.defective(table(spark, sf_dir, "submissions"), table(spark, sf_dir, "rl_df_test"))
+    return pairs.defective(spread(table(spark, sf_dir, "submissions")), table(spark, sf_dir, "rl_df_test"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.same_pairs(table(spark, sf_dir, "combined_jokes_full"), "joke_id", "joke", "joke_id_a", "joke_id_b")
+    return neardup.same_pairs(spread(table(spark, sf_dir, "combined_jokes_full")), "joke_id", "joke", "joke_id_a", "joke_id_b")
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.same_groups(table(spark, sf_dir, "combined_jokes_full"), "joke_id", "joke")
+    return neardup.same_groups(spread(table(spark, sf_dir, "combined_jokes_full")), "joke_id", "joke")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.gather(
         [
-            ("combined_jokes_full", table(spark, sf_dir, "combined_jokes_full"), "joke_id", "joke"),
-            ("submissions", table(spark, sf_dir, "submissions"), "submission_id", "text"),
-            ("documents", table(spark, sf_dir, "documents"), "doc_id", "text"),
+            ("combined_jokes_full", spread(table(spark, sf_dir, "combined_jokes_full")), "joke_id", "joke"),
+            ("submissions", spread(table(spark, sf_dir, "submissions")), "submission_id", "text"),
+            ("documents", spread(table(spark, sf_dir, "documents")), "doc_id", "text"),
         ]
     )
 
@@ -60,59 +60,59 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.found(table(spark, sf_dir, "submissions"))
+    return truncation.found(spread(table(spark, sf_dir, "submissions")))
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.report(table(spark, sf_dir, "submissions"))
+    return truncation.report(spread(table(spark, sf_dir, "submissions")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.found(table(spark, sf_dir, "combined_jokes_full"))
+    return overlap.found(spread(table(spark, sf_dir, "combined_jokes_full")))
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.report(table(spark, sf_dir, "combined_jokes_full"))
+    return overlap.report(spread(table(spark, sf_dir, "combined_jokes_full")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jokes = unify.same_look_pairs(table(spark, sf_dir, "combined_jokes_full"), "joke_id", "joke")
-    heads = unify.same_look_pairs(table(spark, sf_dir, "task_a_zh"), "task_no", "headline")
+    jokes = unify.same_look_pairs(spread(table(spark, sf_dir, "combined_jokes_full")), "joke_id", "joke")
+    heads = unify.same_look_pairs(spread(table(spark, sf_dir, "task_a_zh")), "task_no", "headline")
     return jokes.select(F.lit("combined_jokes_full").alias("src_table"), "*").unionByName(heads.select(F.lit("task_a_zh").alias("src_table"), "*"))
 
 
 def p7_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jokes = unify.unify(table(spark, sf_dir, "combined_jokes_full"), "joke_id", "joke").withColumnRenamed("joke_id", "rec_id")
-    heads = unify.unify(table(spark, sf_dir, "task_a_zh"), "task_no", "headline").withColumnRenamed("task_no", "rec_id")
+    jokes = unify.unify(spread(table(spark, sf_dir, "combined_jokes_full")), "joke_id", "joke").withColumnRenamed("joke_id", "rec_id")
+    heads = unify.unify(spread(table(spark, sf_dir, "task_a_zh")), "task_no", "headline").withColumnRenamed("task_no", "rec_id")
     return jokes.select(F.lit("combined_jokes_full").alias("src_table"), "rec_id", "form").unionByName(heads.select(F.lit("task_a_zh").alias("src_table"), "rec_id", "form"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.encode(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def p8_ids_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(spread(table(spark, sf_dir, "documents")), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
 
 
 def p8_ids_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_by_library(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.encode_by_library(spread(table(spark, sf_dir, "documents")), "doc_id", "text", f"{TOKENIZERS}/word_bpe_49k.json")
 
 
 def p8_ids_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_by_library(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return bpe.encode_by_library(spread(table(spark, sf_dir, "documents")), "doc_id", "text", f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.chosen(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.chosen(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.split_documents(table(spark, sf_dir, "documents"))
+    return sentences.split_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
