@@ -32,6 +32,7 @@ from .unify import LOOKALIKES, _fold_table
 
 LANGS = ("de", "en", "es", "fr", "ja", "pt", "zh")
 SAMPLE = 2000  # records per declared language
+SAMPLE_CHARS = 100_000  # longer texts are not fitted on, so that the sample is bounded whatever a text's size
 ORDER = 5
 DISCOUNT = 0.75
 MIN_COUNT = {5: 2, 4: 1, 3: 1, 2: 1, 1: 1}  # rarer n-grams of the highest order go by their suffix
@@ -412,7 +413,7 @@ def least_hashes(rows: DataFrame, group: str, per_group: int) -> DataFrame:
 
 def sample_labelled(tables: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """The bounded sample the models are fitted on: (lang, text)."""
-    good = tables.where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("src_table", "rec_id"))
+    good = tables.where(F.col("lang").isin(*LANGS) & (F.length("text") <= SAMPLE_CHARS)).withColumn("_h", F.xxhash64("src_table", "rec_id"))
     good = least_hashes(good, "lang", per_language)
     first = F.row_number().over(W.partitionBy("lang").orderBy("_h", "rec_id"))
     rows = good.withColumn("_n", first).where(F.col("_n") <= per_language).select("lang", "text").collect()

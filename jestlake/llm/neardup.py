@@ -69,18 +69,21 @@ def _token_hash(token: str) -> int:
 
 def _universal(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, _PRIME, n, dtype=np.int64), rng.integers(0, _PRIME, n, dtype=np.int64)
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
 
 
 def minima(sets: list[np.ndarray], n: int, seed: int = 7) -> np.ndarray:
-    """[len(sets), n] minima of (a x + b) mod p over each (non-empty) set."""
+    """[len(sets), n] minima over each (non-empty) set of the high 32 bits of a x + b mod 2 ** 64, which is strongly universal for 31-bit x."""
     a, b = _universal(n, seed)
-    flat = np.concatenate(sets)
+    flat = np.concatenate(sets).astype(np.uint64)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), n), np.int64)
+    out = np.empty((n, len(sets)), np.uint64)
+    hashed = np.empty_like(flat)
     for k in range(n):
-        out[:, k] = np.minimum.reduceat((flat * a[k] + b[k]) % _PRIME, starts)
-    return out
+        np.multiply(flat, a[k], out=hashed)
+        np.add(hashed, b[k], out=hashed)
+        np.minimum.reduceat(hashed, starts, out=out[k])
+    return np.ascontiguousarray((out >> np.uint64(32)).astype(np.int64).T)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

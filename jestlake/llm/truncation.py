@@ -36,6 +36,7 @@ from ..session import cut
 from .sentences import _EMOJI, CJK, _shape, _spans, _TOKEN
 
 SAMPLE = 6000
+SAMPLE_CHARS = 100_000  # longer texts are not fitted on, so that the sample is bounded whatever a text's size
 NEIGHBOURS = 10  # lengths on either side
 FDR = 0.01
 EXCESS = 2.0  # a limit's hazard and count are at least this many times the pooled hazard around it and the mean count before it
@@ -372,7 +373,7 @@ def _text_hash(bared: str) -> int:
 
 def sample_texts(df: DataFrame, key: str, text: str, size: int = SAMPLE) -> list[str]:
     """The bounded sample the model of endings is fitted on."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.xxhash64(key).alias("_h"), F.col(key).alias("_k"))
+    rows = df.where(F.length(text) <= SAMPLE_CHARS).select(F.col(text).alias("_t"), F.xxhash64(key).alias("_h"), F.col(key).alias("_k"))
     return sorted(r["_t"] for r in rows.orderBy("_h", "_k").limit(size).select("_t").collect())
 
 
