@@ -200,7 +200,8 @@ class Models:
                 vocabulary = len(kept) + 1
                 lam = np.where(total > 0, DISCOUNT * (counts > 0).sum(axis=0) / np.maximum(total, 1), 1.0)
                 prob = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1) + lam / vocabulary
-                self.floor = np.log(np.maximum(lam / vocabulary, 1e-6)).astype(np.float32)
+                prob = np.where(total > 0, prob, 0.0)  # a language without any text is nobody's
+                self.floor = np.log(np.maximum(np.where(total > 0, lam / vocabulary, 0.0), 1e-6)).astype(np.float32)
                 logp = np.log(np.maximum(prob, 1e-6)).astype(np.float32)
             else:
                 contexts = self.index[-1].find(context_of)

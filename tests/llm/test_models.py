@@ -382,3 +382,31 @@ def test_one_vote_an_annotator(spark):
     rows = [(1, 5, "j", 3, 3, 2, "a", "2021-01-01"), (2, 5, "j", 3, 4, 7, "a", "2021-02-01"), (3, 5, "j", 3, 99, 9, " b ", "2021-01-01"), (3, 5, "j", 3, 99, 8, "b", "2021-03-01"), (4, 5, "j", None, None, 44, "c", None)]
     df = spark.createDataFrame(rows, "eval_id bigint, item_id bigint, joke string, llama_score int, gpt_score int, labels int, labeler string, at string").selectExpr("*", "cast(at as timestamp) as loaded_at")
     assert {(r["annotator"], r["label"]) for r in consensus.votes(df).collect()} == {("labeler:a", 7), ("labeler:b", 8), ("model:llama_score", 3), ("model:gpt_score", 4)}
+
+
+EDGES = [None, "", " ", "...", "a", "x" * 30000, "The cat met a dog. The moon met a", "The cat met a dog.", "The cat met a dog.", "\ud83d\ude02", "我奶奶睡着了。", "\u200b\ufeff", "no joke\n" * 500]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_nulls_ties_long_texts_and_clashing_names(spark, empty):
+    """Every operator on null, empty, blank, repeated and very long texts, with null keys of other tables and columns named like its own."""
+    rows = [(i, f"en_{i % 3}" if i % 4 else None, ("m" if i % 2 else None), t, [None, "en", "und", ""][i % 4], "k", 1.0, 2) for i, t in enumerate(EDGES)]
+    df = spark.createDataFrame(rows, "submission_id bigint, id string, model string, text string, lang string, _k string, odds double, word int")
+    prompts = spark.createDataFrame([("en_0", "Say: 'a cat'", 1), ("en_1", None, 2), (None, "x", 3), ("en_0", "", 4)], "id string, prompt string, _p int")
+    if empty:
+        df, prompts = df.where("false"), prompts.where("false")
+    keys = set(range(len(EDGES)))
+    pairs_found = pairs.defective(df, prompts).collect()
+    assert len({r["submission_id"] for r in pairs_found}) == len(pairs_found)
+    if not empty:
+        defects = {r["submission_id"]: r["defect"] for r in pairs_found}
+        assert all(defects[k] == "empty" for k in (0, 1, 2, 3, 11)) and 7 not in defects
+    assert {r["submission_id"] for r in truncation.found(df).collect()} <= keys
+    assert sum(r["texts"] for r in truncation.report(df).collect()) == (0 if empty else len(EDGES))
+    tables = langid.gather([("t", df, "submission_id", "text")])
+    for out in (langid.found(tables), langid.languages(tables), langid.segments(tables)):
+        assert {r["rec_id"] for r in out.collect()} <= keys
+    spans = {}
+    for r in sentences.split_documents(df, "submission_id").collect():
+        spans.setdefault(r["submission_id"], []).append((r["start_char"], r["end_char"]))
+    assert set(spans) == (set() if empty else {i for i, t in enumerate(EDGES) if t and t.strip()} - {0, 1, 2})
