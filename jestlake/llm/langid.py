@@ -278,14 +278,19 @@ class Identifier:
         letters = np.bincount(part, weights=codes != _SPACE, minlength=len(owner))
         fold = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1 for t in texts), np.int64, len(texts))[owner]
         sums = np.zeros((len(owner), len(LANGS)), np.float32)
+        vouched = np.zeros((2, len(LANGS)), bool)
         for _ in range(2):
             # each half is judged by models of the other half: a model can't vouch for foreign sentences it was fitted on
             for half in (0, 1):
                 models = Models([_of(codes, part, (wanted == k) & (fold != half)) for k in range(len(LANGS))])
+                vouched[half] = [((wanted == k) & (fold != half)).any() for k in range(len(LANGS))]
                 own_codes, own_part = _of(codes, part, fold == half)
                 at, own = _part_sums(models, own_codes, own_part)
                 sums[at] = own
-            wanted = np.where(sums.argmax(axis=1) == declared[owner], declared[owner], -1)
+            # where the other half has nothing of the declared language, there is nobody to contradict it
+            agreed = (sums.argmax(axis=1) == declared[owner]) | ~vouched[fold, declared[owner]]
+            wanted = np.where(agreed, declared[owner], -1)
+        self.trained = np.array([(wanted == k).any() for k in range(len(LANGS))])
         self.models = Models([_of(codes, part, wanted == k) for k in range(len(LANGS))])
         # a part is rejected when its cross-entropy is nearer to what other languages' parts have under the model, and that is no chance of few letters
         self.limit, self.mean, self.spread = np.full(len(LANGS), np.inf), np.zeros(len(LANGS)), np.zeros(len(LANGS))
@@ -326,7 +331,7 @@ class Identifier:
         weight = np.bincount(grouped, weights=letters, minlength=len(texts) + len(owner))[grouped]
         entropy = -np.bincount(grouped, weights=sums[row, lang], minlength=len(texts) + len(owner))[grouped] / np.maximum(weight, 1)
         chance = self.mean[lang] + SPREAD * self.spread[lang] / np.sqrt(np.maximum(weight, 1))
-        lang = np.where(entropy > np.maximum(self.limit[lang], chance), -1, lang)
+        lang = np.where((entropy > np.maximum(self.limit[lang], chance)) | ~self.trained[lang], -1, lang)
         rival = sums.copy()
         rival[row, np.maximum(lang, 0)] = -np.inf
         margin = (sums[row, np.maximum(lang, 0)] - rival.max(axis=1)) / np.sqrt(safe)
