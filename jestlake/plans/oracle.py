@@ -162,7 +162,7 @@ def _lse(z: str) -> str:
 
 
 def _values(rows, columns: str) -> str:
-    return f"select * from (values {', '.join('(' + ', '.join(str(x) if isinstance(x, int) else q(x) for x in r) + ')' for r in rows)}) as v({columns})"
+    return f"select * from (values {', '.join('(' + ', '.join(f'{x}::bigint' if isinstance(x, int) else q(x) for x in r) + ')' for r in rows)}) as v({columns})"
 
 
 def _drawn_pairs() -> str:
