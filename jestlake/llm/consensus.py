@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import cut, release
 
 CLASSES = 11
-ITERATIONS = 200  # it settles long before
+ITERATIONS = 1000  # it settles long before
 TOLERANCE = 1e-4  # mean change of log likelihood per vote that ends the iterations
 WORDS = 32  # hashed word features
 FEATURES = WORDS + 8
