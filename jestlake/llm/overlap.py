@@ -22,19 +22,26 @@ TRAIN = "train"
 
 def _members(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
     sides = df.select(F.col(key).alias("_k"), (F.col(split) == TRAIN).alias("train")).where("train is not null")
-    return text_classes(df, key, text).join(sides, "_k")
+    every = text_classes(df, key, text)
+    members = cut(every.join(sides, "_k"))
+    release(every._made_of)
+    return members
 
 
 def cross_split_pairs(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
     """(train_k, eval_k): every confirmed pair with its training record and its evaluation record."""
-    members = cut(_members(df, key, text, split))
-    sides = members.groupBy("cls").agg(F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval")).withColumnRenamed("cls", "_id")
-    signed = cut(signatures(members))
-    across = (F.col("a.in_train") & F.col("b.in_eval")) | (F.col("a.in_eval") & F.col("b.in_train"))
-    near = cut(verified(candidate_links(signed, sides, across), signed).select("a", "b"))
-    same = sides.where("in_train and in_eval").select(F.col("_id").alias("a"), F.col("_id").alias("b"))
+    texts = _members(df, key, text, split)
+    side = F.bit_or(F.when(F.col("train"), 1).otherwise(2)).alias("side")
+    signed = cut(signatures(texts, side, bands=False))
+    members = cut(texts.select("_k", "cls", "train"))
+    release(texts)
+    sides = cut(signed.select("_id", "side"))
+    links = candidate_links(signed)
+    near = cut(verified(links, signed).select("a", "b"))
+    release(signed, links)
+    same = sides.where("side = 3").select(F.col("_id").alias("a"), F.col("_id").alias("b"))
     links = cut(near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(same))
-    release(signed)
+    release(sides, near)
     train, other = (members.where(F.col("train") == side).select("cls", F.col("_k").alias("k")) for side in (True, False))
     return expand_links(links, train, other).select(F.col("ka").alias("train_k"), F.col("kb").alias("eval_k"))
 

@@ -1,6 +1,7 @@
 """Unify, near-duplicates, overlap, tokenizer and mixing against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from jestlake.llm import blocks, bpe, mixing, neardup, overlap, unify
-from jestlake.session import ship
+from jestlake.session import cut, ship
 
 WORDS = "the a cat dog moon ladder sings paints under over bridge with lamp green swan angry tax clerk spoon soup walked home late again and then but so".split()
 
@@ -158,6 +159,46 @@ def test_jokes_of_one_frame(spark, monkeypatch, block):
     assert found <= near and len(near) >= 300 and len(found) >= 0.98 * len(near)
 
 
+def test_passes_over_the_bands_give_all_links(spark, monkeypatch):
+    rows = [(i, t, None) for i, t, _ in corpus(8)]
+    df = spark.createDataFrame(rows, "joke_id bigint, joke string, norm string")
+    signed = neardup.signatures(neardup.text_classes(df, "joke_id", "joke"), bands=False).cache()
+    assert "bands" not in signed.columns
+    whole = {tuple(r) for r in neardup.candidate_links(signed).collect()}
+    for passed, bands, block in ((1, 8, 1024), (1, 24, 2)):
+        monkeypatch.setattr(neardup, "PASS", passed)
+        monkeypatch.setattr(neardup, "PASS_BANDS", bands)
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = [tuple(r) for r in neardup.candidate_links(signed).collect()]
+        assert len(got) == len(set(got)) and set(got) == whole and whole
+    half = signed.withColumn("side", F.when(F.col("_id") > 0, 1).otherwise(2))
+    assert {tuple(r) for r in neardup.candidate_links(half).collect()} == {(a, b) for a, b in whole if a < 0 < b}
+
+
+def test_near_duplicates_hold_little_disk(spark, monkeypatch, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 60)) for i in range(3000)]
+    spark.createDataFrame(rows, "k bigint, t string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    df, shared, held = spark.read.parquet(str(tmp_path / "in")), Path(spark.conf.get("spark.checkpoint.dir")), []
+    blocks_on_disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def size():
+        files = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks_on_disk.getAllFiles())
+        return sum(p.stat().st_size for p in shared.rglob("*.parquet")) + sum(f.length() for f in files if f.getName().startswith("shuffle_"))
+
+    def watched(df):
+        out = cut(df)
+        held.append(size())
+        return out
+
+    before, source = size(), sum(p.stat().st_size for p in (tmp_path / "in").glob("*.parquet"))
+    monkeypatch.setattr(neardup, "cut", watched)
+    monkeypatch.setattr(unify, "cut", watched)
+    neardup.same_groups(df, "k", "t")
+    assert held and max(held) - before < 4 * source
+    assert held[-1] - before < 0.5 * source  # signatures, texts and buckets are gone
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_pairs_within_groups_of_any_size(spark, block):
     sizes = {0: 1, 1: 2, 2: 3, 3: 4, 4: 31}
